@@ -30,21 +30,21 @@ def _licenses_sql() -> str:
     """Brute force: every line against every template, every word against every phrase."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = [(p.split(), label) for p, label in licenses.BASE.items()]
-    at = " || ".join("list_transform(list_filter(range(len(ws)), lambda i: " + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p)) + f"), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in phrases)
+    at = " || ".join("list_transform(list_filter(range(len(ws)), lambda i: " + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p)) + f"), lambda i: {{'pos': i, 'label': '{label}'}})" for p, label in phrases)
     values = ", ".join(f"('{k}', {sorted({w.decode() for w in licenses.words_of(t)})})" for k, t in licenses.TEMPLATES.items())
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
-p AS (SELECT doc_id, t, ws, {at} AS at FROM w),
+p AS (SELECT doc_id, t, ws, {at} AS hits FROM w),
 l AS (SELECT DISTINCT doc_id, i, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
 m AS (SELECT doc_id, i, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM l, (VALUES {values}) AS templates(label, tokens)
       WHERE len(list_intersect(b, tokens)) >= ceil(round({licenses.THRESHOLD} * len(tokens), 9))),
 b AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best, count(DISTINCT i) AS n_blocks FROM m GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(at) AS BIGINT) AS n_base,
-  list_min(list_transform(at, lambda x: x.at)) AS first_word, list_max(list_transform(at, lambda x: x.at)) AS last_word,
-  coalesce(array_to_string(list_sort(list_distinct(list_transform(at, lambda x: x.label))), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_transform(at, lambda x: x.label) || coalesce(labels, []))), ','), '') AS labels,
-  CAST(greatest(CASE WHEN len(at) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0)) AS DOUBLE) AS score, coalesce(n_blocks, 0) AS n_blocks
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base,
+  list_min(list_transform(hits, lambda x: x.pos)) AS first_word, list_max(list_transform(hits, lambda x: x.pos)) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label) || coalesce(labels, []))), ','), '') AS labels,
+  CAST(greatest(CASE WHEN len(hits) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0)) AS DOUBLE) AS score, coalesce(n_blocks, 0) AS n_blocks
 FROM p LEFT JOIN b USING (doc_id)"""
 
 
