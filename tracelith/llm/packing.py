@@ -102,22 +102,24 @@ def patterns(lengths: list[int], size: int) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared difference between what the patterns use and ``counts``, by accelerated projected gradient."""
+    """Repeat counts x >= 0 that minimise the squared difference between what the patterns use and ``counts``, by accelerated projected gradient.
+
+    A length's difference weighs as much as the length: what is left of long pieces costs more sequences.
+    """
     size, m = len(counts), len(rows)
+    weight = np.arange(size) / size
     if not m:
         return np.zeros(0)
     use = np.ones(m)
     for _ in range(12):  # the largest eigenvalue, for the step
         hit = np.bincount(rows.ravel(), np.repeat(use, 3), size)
-        hit[0] = 0
-        use = hit[rows].sum(1)
+        use = (hit * weight)[rows].sum(1)
         top = np.linalg.norm(use)
         use /= max(top, 1e-12)
     x, y, t = np.zeros(m), np.zeros(m), 1.0
     for _ in range(steps):
         left = counts - np.bincount(rows.ravel(), np.repeat(y, 3), size)
-        left[0] = 0
-        new = np.maximum(0, y + left[rows].sum(1) / max(top * 1.05, 1e-12))
+        new = np.maximum(0, y + (left * weight)[rows].sum(1) / max(top * 1.05, 1e-12))
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / u * (new - x), new, u
     return x
