@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_chunks
 
 WINDOW, STRIDE, DIM, HIDDEN, BUCKETS, WORDS, GRAMS = 64, 32, 12, 8, 1 << 15, 6000, (3, 4, 5)
-SAMPLE, SEED, BATCH, STEPS = 1500, 11, 64, 220
+SAMPLE, SEED, BATCH, STEPS, CHANCE = 1500, 11, 48, 150, 4.0
 #: Words whose projections a worker keeps; windows that are computed at once.
 TABLE, BLOCK = 150_000, 4096
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_windows long"
@@ -131,15 +131,17 @@ class Inputs:
         self.at = np.cumsum(self.sizes) - self.sizes  # the last one stands for padding
 
 
-def log_odds(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def evidence(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Signed root of each feature's likelihood ratio between the classes (documents that hold it), less what chance gives among many features."""
     n = np.zeros((2, size))
     for ids, label in zip(rows, y, strict=True):
         n[label, np.unique(ids)] += 1
-    per = (n + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
-    return np.clip(np.log(per[1] / per[0]), -4, 4) * (n.sum(0) >= 3)
+    share = np.bincount(y, minlength=2)[:, None] / len(y)
+    g = 2 * (n * np.log(np.maximum(n, 1e-9) / np.maximum(n.sum(0) * share, 1e-9))).sum(0)
+    return np.clip(np.sign(n[1] - n.sum(0) * share[1]) * np.maximum(0, np.sqrt(np.maximum(g, 0)) - CHANCE) / 2, -2, 2)
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEPS) -> tuple[Weights, dict[str, int]] | float:
+def train(texts: list[str], labels: list[int], prior: float | None = None, seed: int = SEED, steps: int = STEPS) -> tuple[Weights, dict[str, int]] | float:
     """Weights and the words that have a vector of their own; a constant score if a class is missing."""
     known = dict(zip(texts, labels, strict=True))
     texts, y = list(known), np.array(list(known.values()), np.int64)
@@ -147,9 +149,9 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
         return float(y.mean()) if len(y) else 0.5
     rng, data = np.random.default_rng(seed), Inputs(texts)
     size = len(data.index)
-    odds = log_odds(data.ids, y, size)
+    odds = evidence(data.ids, y, size)
     df = np.bincount(np.concatenate([np.unique(i) for i in data.ids]), minlength=size)
-    chosen = np.sort(np.argsort(-np.where(df >= 3, np.abs(odds) + np.log1p(df) / 100, -1), kind="stable")[:WORDS])
+    chosen = np.sort(np.argsort(-(np.abs(odds) * 1000 + df), kind="stable")[:WORDS])
     chosen = chosen[df[chosen] >= 3]
     own = np.full(size + 1, len(chosen))
     own[chosen] = np.arange(len(chosen))
@@ -158,13 +160,13 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
         ("word", 0.05, (len(chosen) + 1, DIM)), ("gram", 0.05, (BUCKETS, DIM)), ("x", DIM**-0.5, (DIM, 6 * HIDDEN)), ("u", HIDDEN**-0.5, (2, HIDDEN, 3 * HIDDEN)),
         ("k", (2 * HIDDEN) ** -0.5, (2 * HIDDEN, HIDDEN)), ("q", HIDDEN**-0.5, (HIDDEN,)), ("o", (2 * HIDDEN) ** -0.5, (2 * HIDDEN,)),
     )} | {"xb": np.zeros(6 * HIDDEN, np.float32), "kb": np.zeros(HIDDEN, np.float32), "ob": np.zeros(1, np.float32)}
-    w["word"][: len(chosen), 0] += odds[chosen] / 3
-    w["gram"][:, 0] += np.clip(log_odds(gram_rows, y, BUCKETS), -2, 2) / 3
-    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
+    w["word"][: len(chosen), 0] += odds[chosen]
+    w["gram"][:, 1] += evidence(gram_rows, y, BUCKETS)
+    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items() if k not in ("word", "gram")}
     each = [windows(i, size) for i in data.ids]
     pools = [np.flatnonzero(y == c) for c in (0, 1)]
     for step in range(1, steps + 1):
-        # half a batch of each class, so that the rare one is learnt; the bias is set right for the classes' shares below
+        # half a batch of each class, so that the rare one is learnt
         batch = np.concatenate([rng.choice(p, BATCH // 2, len(p) < BATCH // 2) for p in pools])
         ids = np.concatenate([each[i] for i in batch])
         first = np.cumsum([0] + [len(each[i]) for i in batch])
@@ -186,15 +188,17 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
         np.add.at(dt[:, 1], chosen_ids.T[::-1], dx[1])
         dt = dt.reshape(len(used), -1)
         g["x"], g["xb"], dv = v.T @ dt, dt.sum(0), dt @ w["x"].T
-        g["word"], g["gram"] = np.zeros_like(w["word"]), np.zeros_like(w["gram"])
-        np.add.at(g["word"], own[used], dv)
-        np.add.at(g["gram"], flat, np.repeat(dv / sizes[:, None], sizes, 0))
+        # Vectors take plain steps, so that a rare word moves little.
+        np.add.at(w["word"], own[used], -0.5 * dv)
+        np.add.at(w["gram"], flat, np.repeat(-0.5 * dv / sizes[:, None], sizes, 0))
         rate = 0.01 * min(1, step / 10) * (1 - 0.9 * step / steps)
         for name, grad in g.items():
             m, s = moment[name]
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
             w[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    if prior is not None:  # from as many of each class to the classes' own shares
+        w["ob"] -= np.float32(np.log((1 - prior) / prior))
     names = list(data.index)
     return w, {names[i]: k for k, i in enumerate(chosen.tolist())}
 
@@ -271,14 +275,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``sample`` labelled texts of each class that aren't held out. Ids are chosen before texts are read."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int], float | None]:
+    """At most ``sample`` labelled texts of each class that aren't held out, and class 1's share of all such labels. Ids are chosen before texts are read."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
+    n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").collect()
     rows = sorted({(r.doc_id, r.text or "", r.toxic) for r in rows})
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return [r[1] for r in rows], [r[2] for r in rows], n[1] / (n[0] + n[1]) if len(n) == 2 else None
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
