@@ -1,15 +1,41 @@
-"""The corpus pipeline: toxicity, SimHash near-duplicates, secret scans, best-fit packing."""
+"""The corpus pipeline: toxicity, SimHash near-duplicates, secret scans, best-fit packing.
+
+Every stage takes all rows that the one before kept, as Parquet. Toxic documents go, one document of each near-duplicate
+group stays, secrets in the texts are replaced by a mark (no document goes for them), and all that is left is packed.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tracelith.llm import packing, secrets, simhash, toxicity
+from tracelith.llm.common import table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", without_toxic), ("near_duplicates", without_near_duplicates), ("secrets", without_secrets), ("packing", packed)]
+#: SQL can express neither the network nor the fingerprints nor the plan; tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

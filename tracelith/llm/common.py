@@ -38,6 +38,19 @@ def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema
     return df.mapInArrow(run, schema)
 
 
+def filter_chunks(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Keeps the rows for which ``make()`` (built once for each task) says so, reading one column; all columns stay as they are."""
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(f(part.column(part.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the cluster shares (``spark.checkpoint.dir``); outside a cluster, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

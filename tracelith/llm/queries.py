@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, minhash, packing, secrets, simhash, topk, toxicity
+from . import bpe, chat, licenses, minhash, packing, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -94,5 +98,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id"""
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS holder FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < holder THEN holder END AS refers_to FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _licenses_sql(), "op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL}
+    return {"op7_warc": _WARC_SQL, "op1_licenses": _licenses_sql(), "op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL}

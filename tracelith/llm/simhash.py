@@ -48,15 +48,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, fp) and any other columns of ``docs`` but the text: fp as a signed long."""
 
     def make():
         def rows(x):
-            return {"doc_id": x["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in map(fingerprint, x["text"])]}
+            return x | {"fp": [f - (1 << 64) if f >> 63 else f for f in map(fingerprint, x["text"])]}
 
         return rows
 
-    return map_chunks(docs.select("doc_id", "text"), make, "doc_id long, fp long")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return map_chunks(docs, make, ", ".join([*kept, "fp long"]))
 
 
 def grid_cells(fp: str = "fp") -> F.Column:
@@ -87,12 +88,29 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def by_fingerprint(own: DataFrame) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint, named by its least member."""
+    fps = own.select("fp").distinct()
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    own = written(fingerprints(docs), "fingerprints")
-    roots = components(links(own.select("fp").distinct()))
-    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    with_root = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own = written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    with_root = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(by_fingerprint(own), "fp")
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = with_root.join(least, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group: the least doc_id (null last), then the least hash of the text; of repeated rows one."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = written(fingerprints(docs.select("doc_id", "text", text_key.alias("text_key"))), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    by_fp = own.groupBy("fp").agg(first.alias("first")).join(by_fingerprint(own), "fp")
+    kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(0)).alias("id_key"), "first.no_id", "first.text_key")
+    keyed = docs.withColumns({"id_key": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull(), "text_key": text_key})
+    keys = ["id_key", "no_id", "text_key"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks
+from .common import filter_chunks, map_chunks
 
 WINDOW, STRIDE, DIM, HIDDEN, BUCKETS, WORDS, GRAMS = 64, 32, 12, 8, 1 << 15, 6000, (3, 4, 5)
 SAMPLE, SEED, BATCH, STEPS, CHANCE = 1500, 11, 48, 150, 4.0
@@ -300,3 +300,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         return rows
 
     return map_chunks(docs.select("doc_id", "text", held_out().alias("held_out")), make, SCHEMA)
+
+
+def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, all columns as they are."""
+    model = train(*training_rows(docs, labels, sample))
+    if isinstance(model, float):
+        return docs if model < 0.5 or not docs.take(1) else docs.where("false")
+
+    def make():
+        scorer = Scorer(model)
+        return lambda texts: [s < 0.5 for s, _ in scorer.scores(texts)]
+
+    return filter_chunks(docs, make, "text")
