@@ -155,7 +155,7 @@ def edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
-    splits = sorted({int(x) for x in keyed.select("k").approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}, reverse=True)
+    splits = [] if buckets == 1 else sorted({int(x) for x in keyed.select("k").approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}, reverse=True)
     bounds = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<bigint>")
     keyed = keyed.withColumn("bucket", F.size(F.filter(bounds, lambda s: s > F.col("k"))))
     heads = sorted(keyed.groupBy("bucket").agg(F.max("k").alias("k")).collect())
