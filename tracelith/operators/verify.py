@@ -82,6 +82,12 @@ def report(original: DataFrame, restored: DataFrame, metadata: tuple[DataFrame,
         F.coalesce(F.sum(F.when(both, F.col("same"))), F.lit(0)).alias("matching_events"), F.coalesce(F.sum(F.when(both, F.col("apart"))), F.lit(0)).alias("mismatched_events"),
         F.count_if(F.col("r") == 0).alias("missing_streams"), F.count_if(F.col("o") == 0).alias("extra_streams"), F.count_if(both & (F.col("o") != F.col("r"))).alias("stream_count_diffs"),
     )
-    wrong = metadata_mismatches(*metadata).agg(F.count("*").alias("metadata_mismatches")) if metadata else original.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("metadata_mismatches"))
-    # one row each
-    return total.crossJoin(wrong).withColumn("ok", F.expr("mismatched_events = 0 and missing_streams = 0 and extra_streams = 0 and metadata_mismatches = 0 and original_event_count = reconstructed_event_count"))
+    parts = [total]
+    if metadata:
+        parts.append(metadata_mismatches(*metadata).agg(F.count("*").alias("metadata_mismatches")))
+    # Each part is one row; their columns are added up, what a part doesn't have counting as 0.
+    names = [*total.columns, "metadata_mismatches"]
+    filled = [p.select(*(F.col(c) if c in p.columns else F.lit(0).cast("bigint").alias(c) for c in names)) for p in parts]
+    rows = filled[0] if len(filled) == 1 else filled[0].union(filled[1])
+    whole = rows.agg(*(F.sum(c).alias(c) for c in names))
+    return whole.withColumn("ok", F.expr("mismatched_events = 0 and missing_streams = 0 and extra_streams = 0 and metadata_mismatches = 0 and original_event_count = reconstructed_event_count"))

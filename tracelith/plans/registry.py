@@ -304,9 +304,10 @@ def string_dictionary(spark, sf_dir):
 
 @query(f"""{LINEITEM}{_ENCODED} SELECT count(*) AS templates, CAST(sum(n) AS BIGINT) AS instances, (SELECT count(DISTINCT rank) FROM ev) AS ranks FROM tp""")
 def inspect(spark, sf_dir):
-    events = trace_from_lineitem(spark, sf_dir)
-    totals = encode.templates(events).agg(F.count("*").alias("templates"), F.sum("n").alias("instances"))
-    return totals.crossJoin(events.select("rank").distinct().agg(F.count("*").alias("ranks")))  # one row each
+    streams = encode.by_stream(trace_from_lineitem(spark, sf_dir))
+    # by_stream has a row for each signature and stream, so the dictionary and the ranks come from one small table
+    signatures = streams.groupBy(*names.SIGNATURE).agg(F.sum("n").alias("n"), F.collect_set("rank").alias("ranks"))
+    return signatures.agg(F.count("*").alias("templates"), F.sum("n").alias("instances"), F.size(F.array_distinct(F.flatten(F.collect_set("ranks")))).cast("bigint").alias("ranks"))
 
 
 # Linear segments: the dates of each part's line items, in order of line items
