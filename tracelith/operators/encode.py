@@ -27,23 +27,28 @@ def absolute(events: DataFrame, starts: DataFrame) -> DataFrame:
     return events.join(starts, "rank").withColumn("ts", F.col("ts") + F.col("start_ts")).select(events.columns)
 
 
-def stream_order(events: DataFrame) -> DataFrame:
+def _signed(events: DataFrame) -> DataFrame:
+    own = [c for c in events.columns if c not in SIGNATURE]
+    return events.select(*own, *signature())
+
+
+def totals(events: DataFrame) -> DataFrame:
+    """Counts, durations and the first sequence number for each signature and stream: one pass over the events, all that templates and ids depend on."""
+    return _signed(events).groupBy(*SIGNATURE, *STREAM).agg(F.count("*").alias("n"), F.sum(F.coalesce("dur", F.lit(0))).alias("dur_total"), F.min("seq").alias("first_seq"))
+
+
+def stream_order(totals: DataFrame) -> DataFrame:
     """Streams with their place in the traversal: ranks by text, then pid, tid and ph by first appearance. One row for each stream."""
-    s = events.groupBy(*STREAM).agg(F.min("seq").alias("ph_first"))
+    s = totals.groupBy(*STREAM).agg(F.min("first_seq").alias("ph_first"))
     tid = s.groupBy("rank", "pid", "tid").agg(F.min("ph_first").alias("tid_first"))
     pid = tid.groupBy("rank", "pid").agg(F.min("tid_first").alias("pid_first"))
     return s.join(tid, ["rank", "pid", "tid"]).join(pid, ["rank", "pid"]).select(*STREAM, F.struct("rank", "pid_first", "tid_first", "ph_first").alias("place"))
 
 
-def _signed(events: DataFrame) -> DataFrame:
-    own = [c for c in events.columns if c not in SIGNATURE]
-    return events.select(*own, *signature())
-
-
 def by_stream(events: DataFrame) -> DataFrame:
-    """Totals for each signature and stream, with the stream's place and the first sequence number: all that ids depend on."""
-    totals = _signed(events).groupBy(*SIGNATURE, *STREAM).agg(F.count("*").alias("n"), F.sum(F.coalesce("dur", F.lit(0))).alias("dur_total"), F.min("seq").alias("first_seq"))
-    return totals.join(stream_order(events), [*STREAM])
+    """``totals`` with each stream's place."""
+    t = totals(events)
+    return t.join(stream_order(t), [*STREAM])
 
 
 def templates(events: DataFrame) -> DataFrame:
@@ -64,10 +69,9 @@ def same_signature(a: str, b: str) -> F.Column:
 
 
 def assign(events: DataFrame, template: DataFrame) -> DataFrame:
-    """Events with their template_id."""
-    own = [c for c in events.columns]
+    """Events with their template_id, kind, pattern and argument keys."""
     t = template.select("template_id", *SIGNATURE)
-    return _signed(events).withColumn("cat_", F.col("cat")).alias("e").join(t.alias("t"), same_signature("e", "t")).select("t.template_id", "e.kind", "e.name_pattern", "e.arg_keys", *(F.col(f"e.{c}") for c in own))
+    return _signed(events).alias("e").join(t.alias("t"), same_signature("e", "t")).select("t.template_id", "e.kind", "e.name_pattern", "e.arg_keys", *(F.col(f"e.{c}") for c in events.columns))
 
 
 def instances(events: DataFrame, template: DataFrame | None = None) -> DataFrame:
@@ -78,10 +82,12 @@ def instances(events: DataFrame, template: DataFrame | None = None) -> DataFrame
     ordered stream by stream in many tasks, never in one.
     """
     template = templates(events) if template is None else template
-    known = assign(events, template)
-    groups = known.groupBy("template_id", *STREAM).agg(F.count("*").alias("n")).join(stream_order(events), [*STREAM])
-    before = groups.select("template_id", *STREAM, (F.coalesce(F.sum("n").over(Window.partitionBy("template_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    placed = known.withColumn("inner", F.row_number().over(Window.partitionBy("template_id", *STREAM).orderBy("seq")) - 1).join(before, ["template_id", *STREAM])
+    t = template.select("template_id", *SIGNATURE)
+    groups = by_stream(events).alias("g").join(t.alias("t"), same_signature("g", "t")).select("t.template_id", *(F.col(f"g.{c}") for c in STREAM), "g.n", "g.place")
+    earlier = Window.partitionBy("template_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = groups.select("template_id", *STREAM, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("template_id", *STREAM).orderBy("seq")) - 1
+    placed = assign(events, template).withColumn("inner", inner).join(before, ["template_id", *STREAM])
     values = F.transform("arg_keys", lambda k: F.element_at("args", k))
     return placed.select(
         "template_id", (F.col("before") + F.col("inner")).cast("bigint").alias("instance_id"), "kind", *STREAM, "seq", "ts", "dur", "id",
@@ -90,9 +96,11 @@ def instances(events: DataFrame, template: DataFrame | None = None) -> DataFrame
 
 
 def load(events: DataFrame, template: DataFrame | None = None) -> DataFrame:
-    """Durations by template, pid and lane: what the load balance is answered from."""
+    """Durations by template, pid and lane: what the load balance is answered from. Made from the totals, not from events again."""
     template = templates(events) if template is None else template
-    return assign(events, template).groupBy("template_id", "kind", "pid", "tid").agg(F.count("*").alias("n"), F.sum(F.coalesce("dur", F.lit(0))).alias("dur_total"))
+    t = template.select("template_id", *SIGNATURE)
+    rows = totals(events).alias("g").join(t.alias("t"), same_signature("g", "t")).select("t.template_id", "g.kind", "g.pid", "g.tid", "g.n", "g.dur_total")
+    return rows.groupBy("template_id", "kind", "pid", "tid").agg(F.sum("n").alias("n"), F.sum("dur_total").alias("dur_total"))
 
 
 def decode(instance: DataFrame, template: DataFrame) -> DataFrame:
