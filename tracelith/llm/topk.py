@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-BLOCK, LEVELS, PACE, QUERIES = 16_384, 8, 48, 256
+BLOCK, LEVELS, PACE, QUERIES, LEAST = 16_384, 8, 64, 256, 2048
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -40,57 +40,59 @@ class Index:
         self.ids, self.rows = ids, rows
         self.low, self.high = rows.min(0), rows.max(0)
         self.step = (self.high - self.low) // levels + 1
-        self.top = (self.high - self.low) // self.step  # the greatest level of each dimension
-        self.segments = []
-        for up in (True, False):
-            level = ((rows - self.low) if up else (self.high - rows)) // self.step
+        # Segments of both directions: dimension, direction, level, the next lower level held there (-1: none), and rows.
+        facts, self.members = [], []
+        for sign in (1, -1):
+            level = ((rows - self.low) if sign > 0 else (self.high - rows)) // self.step
             order = np.argsort(-level, 0, kind="stable")
-            per = []
             for d in range(rows.shape[1]):
                 held = level[order[:, d], d]
                 cut = np.flatnonzero(np.diff(held)) + 1
-                per.append((held[np.concatenate(([0], cut))], np.split(order[:, d], cut)))
-            self.segments.append(per)
+                firsts = held[np.concatenate(([0], cut))].tolist()
+                facts += [(d, sign, x, y) for x, y in zip(firsts, [*firsts[1:], -1])]
+                self.members += np.split(order[:, d], cut)
+        self.dim, self.sign, self.level, self.after = np.array(facts, np.int64).T
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, in no order, with all that tie; a row whose id is ``own`` is left out."""
+        """(ids, scores) of the k best, best first; a row whose id is ``own`` is left out."""
         n, dims = self.rows.shape
         q = np.zeros(dims, np.int64)
         q[: min(dims, len(query))] = query[:dims]
-        weight = np.abs(q)
-        todo = []
-        for d in np.flatnonzero(weight):
-            levels, groups = self.segments[0 if q[d] > 0 else 1][d]
-            following = np.append(levels[1:], -1)
-            todo += [(int(weight[d] * levels[i] * self.step[d]), int(d), int(following[i]), g) for i, g in enumerate(groups)]
-        todo.sort(key=lambda x: -x[0])
-        sums = np.zeros(n, np.int64)
-        mine = self.ids == own
-        others = n - int(mine.sum())
-        if not others:
+        weight, mine, sums = np.abs(q), np.flatnonzero(self.ids == own), np.zeros(n, np.int64)
+        if n == len(mine):
             return self.ids[:0], sums[:0]
-        sums[mine] = -1
-        # what a dimension adds at most: to rows not yet met there, the next segment's greatest value; to those met, what rounding took off
-        most = weight * np.minimum((self.top + 1) * self.step - 1, self.high - self.low)
+        use = np.flatnonzero(q[self.dim] * self.sign > 0)
+        d = self.dim[use]
+        adds = weight[d] * self.level[use] * self.step[d]
+        # What a dimension adds at most: to rows not yet met there, the next segment's greatest value; to those met, what rounding took off.
         slack = weight * (self.step - 1)
-        few = max(4 * k, n // 64)
-        possible = ~mine
-        for i, (add, d, after, rows) in enumerate(todo):
-            sums[rows] += add
-            most[d] = max(slack[d], int(weight[d]) * ((after + 1) * int(self.step[d]) - 1)) if after >= 0 else slack[d]
-            if i % PACE == PACE - 1 or i == len(todo) - 1:
-                sums[mine] = -1
-                at = np.partition(sums, max(0, n - k))[max(0, n - k)] if others >= k else 0
-                possible = (sums + int(most.sum()) >= at) & ~mine
-                if possible.sum() <= few:
+        limits = np.where(self.after[use] >= 0, np.maximum(slack[d], weight[d] * ((self.after[use] + 1) * self.step[d] - 1)), slack[d])
+        most = (weight * (self.high - self.low)).tolist()
+        room, few, possible, order = sum(most), max(4 * k, n // 64), None, np.argsort(-adds, kind="stable")
+        for i, (add, dim, limit, segment) in enumerate(zip(adds[order].tolist(), d[order].tolist(), limits[order].tolist(), use[order].tolist(), strict=True)):
+            if add:
+                sums[self.members[segment]] += add
+            room += limit - most[dim]
+            most[dim] = limit
+            if i % PACE == PACE - 1:
+                possible = self._possible(sums, mine, room, k)
+                if np.count_nonzero(possible) <= few:
                     break
+        else:
+            possible = self._possible(sums, mine, room, k)
         keep = np.flatnonzero(possible)
         scores = self.rows[keep] @ q
-        if len(keep) > k:
-            least = np.partition(scores, len(keep) - k)[len(keep) - k]
-            keep, scores = keep[scores >= least], scores[scores >= least]
-        order = np.lexsort((self.ids[keep], -scores))[:k]
-        return self.ids[keep][order], scores[order]
+        best = np.lexsort((self.ids[keep], -scores))[:k]
+        return self.ids[keep][best], scores[best]
+
+    def _possible(self, sums: np.ndarray, mine: np.ndarray, room: int, k: int) -> np.ndarray:
+        """Rows that may still be among the k best."""
+        sums[mine] = -1  # below all others
+        n = len(sums)
+        at = max(0, int(np.partition(sums, n - k)[n - k])) if n > k else 0
+        out = sums >= at - room
+        out[mine] = False
+        return out
 
 
 def _matrix(lists: list[list[int]]) -> np.ndarray:
@@ -103,13 +105,14 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
 def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block: int = BLOCK) -> DataFrame:
     """For each id divisible by ``every`` its ``k`` best rows: query_id, rank, vec_id, score."""
     rows = integers(vectors, scale)
-    blocks = max(1, -(-rows.count() // block))
+    n, tasks = rows.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // block), min(tasks, n // LEAST))  # smaller ones as long as tasks would lie idle
     own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     dealt = (
         rows.select(own.alias("block"), F.lit(False).alias("query"), "vec_id", "v")
         .union(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True), "vec_id", "v"))
-        .repartition(blocks, "block").sortWithinPartitions("block", "query", "vec_id")
+        .repartition(2 * blocks, "block").sortWithinPartitions("block", "query", "vec_id")
     )
     arrow = to_arrow_schema(_parse_datatype_string(FOUND))
 
