@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
 A word's input is the sum of a learned vector for the word (for the commonest words of the training texts) and the mean of learned
-vectors of its hashed character n-grams (for all words). Windows of ``WINDOW`` words overlap by half and cover the whole
+vectors of its hashed character n-grams and stems (for all words), and the strongest evidence among these n-grams. Windows of ``WINDOW`` words overlap by half and cover the whole
 text, the last one ending with it. A window's states are pooled by attention and give a logit; a document's is the
 greatest of its windows'. In training the greatest window carries the gradient. Vectors start from smoothed log odds of
 the training texts. Inference keeps each word's input projections in a table, so a step costs one small product.
@@ -17,7 +17,7 @@ is never held out. Other columns are never read for a score.
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import filter_chunks, map_chunks
 
-WINDOW, STRIDE, DIM, HIDDEN, BUCKETS, WORDS, GRAMS = 64, 32, 12, 8, 1 << 15, 6000, (3, 4, 5)
-SAMPLE, SEED, BATCH, STEPS, CHANCE = 1500, 11, 48, 150, 4.0
-#: Words whose projections a worker keeps; windows that are computed at once.
-TABLE, BLOCK = 150_000, 4096
+WINDOW, STRIDE, DIM, HIDDEN, BUCKETS, HINTS, WORDS, GRAMS, STEMS = 64, 32, 12, 8, 1 << 15, 1 << 18, 6000, (3, 4, 5), (6, 7, 8, 9)
+SAMPLE, SEED, BATCH, STEPS, CHANCE = 1500, 11, 48, 150, 5.0
+#: Words whose projections a worker keeps; windows that are computed at once; words that are held at once (or one text).
+TABLE, BLOCK, GROUP = 200_000, 2048, 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_windows long"
 _WORD = re.compile(r"\w+")
 Weights = dict[str, np.ndarray]
@@ -38,10 +38,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams_of(word: str) -> list[int]:
-    b = b"<" + word.encode("utf-8", "surrogatepass") + b">"
-    crc, n = zlib.crc32, len(b)
-    return [crc(b[i : i + k]) & BUCKETS - 1 for k in GRAMS for i in range(max(1, n - k + 1))]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many each word has), one word after another: its n-grams of bytes between marks, and its longer stems."""
+    coded = [b"<%b>" % x.encode("utf-8", "surrogatepass") for x in words]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    starts = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(coded)), sizes)
+    left = starts[word] + sizes[word] - np.arange(len(raw))  # bytes of the word from here on
+    counts = np.stack([np.maximum(sizes - k + 1, 0) for k in GRAMS] + [(sizes > k).astype(np.int64) for k in STEMS])
+    total = counts.sum(0)
+    before = np.cumsum(total) - total + np.cumsum(counts, 0) - counts
+    out = np.empty(int(total.sum()), np.int64)
+    for row, k in enumerate((*GRAMS, *STEMS)):
+        at = np.flatnonzero(left >= k) if k in GRAMS else starts[sizes > k]
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h = h * np.uint64(0x100000001B3) + raw[at + j]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        out[before[row][word[at]] + (at - starts[word[at]])] = (h >> np.uint64(64 - HINTS.bit_length() + 1)).astype(np.int64)
+    return out, total
 
 
 def starts_of(n: int) -> list[int]:
@@ -119,19 +135,65 @@ def backward(w: Weights, ids: np.ndarray, mask: np.ndarray, kept, d: np.ndarray)
     return g, dx
 
 
+def word_vectors(w: Weights, own: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inputs of words, given the rows of their own vectors and, one word after another, their n-grams."""
+    at = np.cumsum(sizes) - sizes
+    v = w["word"][own] + np.add.reduceat(w["gram"][grams & BUCKETS - 1], at) / sizes[:, None]
+    return np.concatenate((v, np.maximum.reduceat(w["hint"][grams], at)[:, None]), 1)
+
+
+def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds values to rows of a table; rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    table[rows[order][first]] += np.add.reduceat(values[order], first)
+
+
 class Inputs:
     """Word ids of training texts, with the n-grams of each."""
 
     def __init__(self, texts: list[str]):
         self.index: dict[str, int] = {}
         self.ids = [np.array([self.index.setdefault(x, len(self.index)) for x in words_of(t)], np.int64) for t in texts]
-        grams = [grams_of(x) for x in self.index]
-        self.sizes = np.array([len(x) for x in grams] + [1])
-        self.flat = np.array([y for x in grams for y in x] + [0])
+        words = list(self.index)
+        parts = [grams_of(words[a : a + 16_384]) for a in range(0, len(words), 16_384)]
+        self.flat = np.concatenate([*(flat.astype(np.int32) for flat, _ in parts), np.zeros(1, np.int32)])
+        self.sizes = np.concatenate([*(sizes for _, sizes in parts), np.ones(1, np.int64)])
         self.at = np.cumsum(self.sizes) - self.sizes  # the last one stands for padding
 
 
-def evidence(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def evidence(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log odds (thirds) of each feature, counting documents that hold it; 0 where the likelihood ratio is no more than chance gives among many features."""
+    n = np.zeros((2, size))
+    for ids, label in zip(rows, y, strict=True):
+        n[label, np.unique(ids)] += 1
+    of = np.bincount(y, minlength=2)[:, None]
+    g = 2 * (n * np.log(np.maximum(n, 1e-9) / np.maximum(n.sum(0) * of / of.sum(), 1e-9))).sum(0)
+    odds = np.log((n[1] + 0.5) / (of[1] + 1)) - np.log((n[0] + 0.5) / (of[0] + 1))
+    return np.clip(odds, -6, 6) / 3 * (g > CHANCE**2)
+
+
+def word_vectors(w: Weights, own: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inputs of words, given the rows of their own vectors and, one word after another, their n-grams."""
+    at = np.cumsum(sizes) - sizes
+    v = w["word"][own] + np.add.reduceat(w["gram"][grams & BUCKETS - 1], at) / sizes[:, None]
+    return np.concatenate((v, np.maximum.reduceat(w["hint"][grams], at)[:, None]), 1)
+
+
+class Inputs:
+    """Word ids of training texts, with the n-grams of each."""
+
+    def __init__(self, texts: list[str]):
+        self.index: dict[str, int] = {}
+        self.ids = [np.array([self.index.setdefault(x, len(self.index)) for x in words_of(t)], np.int64) for t in texts]
+        words = list(self.index)
+        parts = [grams_of(words[a : a + 16_384]) for a in range(0, len(words), 16_384)]
+        self.flat = np.concatenate([*(flat.astype(np.int32) for flat, _ in parts), np.zeros(1, np.int32)])
+        self.sizes = np.concatenate([*(sizes for _, sizes in parts), np.ones(1, np.int64)])
+        self.at = np.cumsum(self.sizes) - self.sizes  # the last one stands for padding
+
+
+def evidence(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Signed root of each feature's likelihood ratio between the classes (documents that hold it), less what chance gives among many features."""
     n = np.zeros((2, size))
     for ids, label in zip(rows, y, strict=True):
@@ -155,14 +217,15 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
     chosen = chosen[df[chosen] >= 3]
     own = np.full(size + 1, len(chosen))
     own[chosen] = np.arange(len(chosen))
-    gram_rows = [np.concatenate([data.flat[data.at[i] : data.at[i] + data.sizes[i]] for i in np.unique(ids)]) if len(ids) else np.zeros(0, np.int64) for ids in data.ids]
+    # A document's n-grams one document at a time: together they would be many times the texts.
+    gram_rows = (np.concatenate([data.flat[data.at[i] : data.at[i] + data.sizes[i]] for i in np.unique(ids)]) if len(ids) else np.zeros(0, np.int64) for ids in data.ids)
     w: Weights = {k: rng.normal(0, s, shape).astype(np.float32) for k, s, shape in (
-        ("word", 0.05, (len(chosen) + 1, DIM)), ("gram", 0.05, (BUCKETS, DIM)), ("x", DIM**-0.5, (DIM, 6 * HIDDEN)), ("u", HIDDEN**-0.5, (2, HIDDEN, 3 * HIDDEN)),
+        ("word", 0.05, (len(chosen) + 1, DIM)), ("gram", 0.05, (BUCKETS, DIM)), ("x", DIM**-0.5, (DIM + 1, 6 * HIDDEN)), ("u", HIDDEN**-0.5, (2, HIDDEN, 3 * HIDDEN)),
         ("k", (2 * HIDDEN) ** -0.5, (2 * HIDDEN, HIDDEN)), ("q", HIDDEN**-0.5, (HIDDEN,)), ("o", (2 * HIDDEN) ** -0.5, (2 * HIDDEN,)),
     )} | {"xb": np.zeros(6 * HIDDEN, np.float32), "kb": np.zeros(HIDDEN, np.float32), "ob": np.zeros(1, np.float32)}
     w["word"][: len(chosen), 0] += odds[chosen]
-    w["gram"][:, 1] += evidence(gram_rows, y, BUCKETS)
-    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items() if k not in ("word", "gram")}
+    w["hint"] = evidence(gram_rows, y, HINTS).astype(np.float32)
+    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items() if k not in ("word", "gram", "hint")}
     each = [windows(i, size) for i in data.ids]
     pools = [np.flatnonzero(y == c) for c in (0, 1)]
     for step in range(1, steps + 1):
@@ -174,8 +237,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
         inner = inner.reshape(ids.shape)
         gram_of = np.concatenate([np.arange(data.at[i], data.at[i] + data.sizes[i]) for i in used])
         sizes = data.sizes[used]
-        flat, at = data.flat[gram_of], np.cumsum(sizes) - sizes
-        v = w["word"][own[used]] + np.add.reduceat(w["gram"][flat], at) / sizes[:, None]
+        flat = data.flat[gram_of]
+        v = word_vectors(w, own[used], flat, sizes)
         table = (v @ w["x"] + w["xb"]).reshape(-1, 2, 3 * HIDDEN)
         logit = np.concatenate([forward(w, table, inner[a : a + BLOCK], ids[a : a + BLOCK] < size) for a in range(0, len(ids), BLOCK)])
         top = np.array([a + logit[a:b].argmax() for a, b in zip(first, first[1:])])
@@ -187,11 +250,14 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
         np.add.at(dt[:, 0], chosen_ids.T, dx[0])
         np.add.at(dt[:, 1], chosen_ids.T[::-1], dx[1])
         dt = dt.reshape(len(used), -1)
-        g["x"], g["xb"], dv = v.T @ dt, dt.sum(0), dt @ w["x"].T
-        # Vectors take plain steps, so that a rare word moves little.
-        np.add.at(w["word"], own[used], -0.5 * dv)
-        np.add.at(w["gram"], flat, np.repeat(-0.5 * dv / sizes[:, None], sizes, 0))
-        rate = 0.01 * min(1, step / 10) * (1 - 0.9 * step / steps)
+        g["x"], g["xb"], dv = v.T @ dt, dt.sum(0), dt @ w["x"][:DIM].T
+        # Vectors take plain steps, so that a rare word moves little; only words of the chosen windows move.
+        moved = np.unique(chosen_ids)
+        step_of = -0.5 * dv[moved]
+        add_rows(w["word"], own[used[moved]], step_of)
+        grams = np.concatenate([data.flat[data.at[i] : data.at[i] + data.sizes[i]] for i in used[moved]])
+        add_rows(w["gram"], grams & BUCKETS - 1, np.repeat(step_of / sizes[moved][:, None], sizes[moved], 0))
+        rate = 0.03 * min(1, step / 10) * (1 - 0.9 * step / steps)
         for name, grad in g.items():
             m, s = moment[name]
             m += 0.1 * (grad - m)
@@ -211,11 +277,9 @@ class Scorer:
         self.table = np.zeros((TABLE + 1, 2, 3 * HIDDEN), np.float32)
 
     def _learn(self, new: list[str]) -> None:
-        w, grams = self.w, [grams_of(x) for x in new]
-        sizes = np.array([len(x) for x in grams])
-        flat = np.array([y for x in grams for y in x])
+        w, (flat, sizes) = self.w, grams_of(new)
         own = np.array([self.own.get(x, len(w["word"]) - 1) for x in new])
-        v = w["word"][own] + np.add.reduceat(w["gram"][flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+        v = word_vectors(w, own, flat, sizes)
         at = len(self.index) + 1
         self.table[at : at + len(new)] = (v @ w["x"] + w["xb"]).reshape(-1, 2, 3 * HIDDEN)
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
@@ -235,8 +299,29 @@ class Scorer:
         return np.concatenate([forward(self.w, self.table, x, x > 0) for x in (ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK))])
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """(score, windows) of each text. Texts are scored together; rows of the table are used up before it is emptied."""
-        best, counts, held, held_for, size = [-np.inf] * len(texts), [0] * len(texts), [], [], 0
+        """(score, windows) of each text. Texts are scored in groups of about ``GROUP`` words."""
+        out: list[tuple[float, int]] = []
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            words = words_of(text)
+            if group and size + len(words) > GROUP:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(words)
+            size += len(words)
+        return out + (self._group(group) if group else [])
+
+    def _group(self, group: list[list[str]]) -> list[tuple[float, int]]:
+        # All new words of the group at once, if the table can hold them beside the old ones or alone.
+        new = list({x for words in group for x in words if x not in self.index})
+        if len(self.index) + len(new) > TABLE:
+            self.index.clear()
+            new = list({x for words in group for x in words})
+        if len(new) <= TABLE:
+            for a in range(0, len(new), 4096):
+                self._learn(new[a : a + 4096])
+        best, counts, held, held_for, size = [-np.inf] * len(group), [0] * len(group), [], [], 0
 
         def flush():
             nonlocal size
@@ -250,8 +335,7 @@ class Scorer:
             held_for.clear()
             size = 0
 
-        for k, text in enumerate(texts):
-            words = words_of(text)
+        for k, words in enumerate(group):
             starts, part = starts_of(len(words)), BLOCK * 2
             for a in range(0, len(starts), part):
                 own = starts[a : a + part]
