@@ -62,29 +62,29 @@ def field_paths(record: str = "record") -> Column:
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds fingerprint, layout and turns (array of role and text, nulls as empty texts)."""
     paths = field_paths(record)
-    out = records.withColumn("fingerprint", F.xxhash64(F.array_join(paths, "\n"))).withColumn("r", F.from_json(record, RECORD))
+    out = records.withColumn("fingerprint", F.xxhash64(F.array_join(paths, "\n"))).withColumn("_tracelith_record", F.from_json(record, RECORD))
     layout, turns = F.lit(None).cast("string"), F.expr("cast(array() as array<struct<role: string, text: string>>)")
     for name, own, mapping in LAYOUTS:
         match = F.col("fingerprint") == F.xxhash64(F.lit("\n".join(sorted(own))))
-        layout, turns = F.when(match, name).otherwise(layout), F.when(match, F.expr(mapping)).otherwise(turns)
+        layout, turns = F.when(match, name).otherwise(layout), F.when(match, F.expr(mapping.replace("r.", "_tracelith_record."))).otherwise(turns)
     clean = "transform(filter(coalesce(turns, array()), t -> t is not null), t -> struct(coalesce(t.role, '') as role, coalesce(t.text, '') as text))"
-    return out.withColumn("layout", layout).withColumn("turns", turns).withColumn("turns", F.expr(clean)).drop("r")
+    return out.withColumn("layout", layout).withColumn("turns", turns).withColumn("turns", F.expr(clean)).drop("_tracelith_record")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """Adds ``formatted`` and ``loss`` (array of start and end) to a frame with ``turns``."""
     parts = f"transform(turns, t -> struct(concat('<|', {escape('t.role', True)}, '|>') as mark, {escape('t.text')} as body, t.role = 'assistant' as loss))"
-    sizes = turns.withColumn("parts", F.expr(parts)).withColumn("sizes", F.expr("transform(parts, p -> cast(length(p.mark) + length(p.body) + 4 as bigint))"))
+    sizes = turns.withColumn("_tracelith_parts", F.expr(parts)).withColumn("_tracelith_sizes", F.expr("transform(_tracelith_parts, p -> cast(length(p.mark) + length(p.body) + 4 as bigint))"))
     # Where a part begins: the sizes of those before it.
-    spans = "transform(filter(transform(parts, (p, i) -> struct(p.loss as loss, aggregate(slice(sizes, 1, i), 0L, (a, b) -> a + b) + length(p.mark) as start, cast(length(p.body) as bigint) as n)), x -> x.loss), x -> struct(x.start as start, x.start + x.n as end))"
-    return sizes.withColumn("formatted", F.expr("array_join(transform(parts, p -> concat(p.mark, p.body, '</s>')), '')")).withColumn("loss", F.expr(spans)).drop("parts", "sizes")
+    spans = "transform(filter(transform(_tracelith_parts, (p, i) -> struct(p.loss as loss, aggregate(slice(_tracelith_sizes, 1, i), 0L, (a, b) -> a + b) + length(p.mark) as start, cast(length(p.body) as bigint) as n)), x -> x.loss), x -> struct(x.start as start, x.start + x.n as end))"
+    return sizes.withColumn("formatted", F.expr("array_join(transform(_tracelith_parts, p -> concat(p.mark, p.body, '</s>')), '')")).withColumn("loss", F.expr(spans)).drop("_tracelith_parts", "_tracelith_sizes")
 
 
 def read_back(df: DataFrame) -> DataFrame:
     """Adds ``read`` (turns) and ``loss_text`` from ``formatted`` and ``loss`` alone."""
     pieces = "filter(split(formatted, '</s>', -1), (x, i) -> i < size(split(formatted, '</s>', -1)) - 1)"
     turn = f"struct({unescape('substring(x, 3, locate(' + repr('|>') + ', x) - 3)')} as role, {unescape('substring(x, locate(' + repr('|>') + ', x) + 2)')} as text)"
-    out = df.withColumn("pieces", F.expr(pieces)).withColumn("read", F.expr(f"transform(pieces, x -> {turn})")).drop("pieces")
+    out = df.withColumn("read", F.expr(f"transform({pieces}, x -> {turn})"))
     return out.withColumn("loss_text", F.expr(f"array_join(transform(loss, s -> {unescape('substring(formatted, cast(s.start + 1 as int), cast(s.end - s.start as int))')}), '')"))
 
 

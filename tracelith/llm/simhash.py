@@ -111,6 +111,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     by_fp = own.groupBy("fp").agg(first.alias("first")).join(by_fingerprint(own), "fp")
     kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(0)).alias("id_key"), "first.no_id", "first.text_key")
-    keyed = docs.withColumns({"id_key": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull(), "text_key": text_key})
-    keys = ["id_key", "no_id", "text_key"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    keys = [f"_tracelith_{c}" for c in kept.columns]
+    keyed = docs.withColumns(dict(zip(keys, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), text_key), strict=True)))
+    return keyed.join(kept.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(docs.columns)

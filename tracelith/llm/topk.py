@@ -13,7 +13,7 @@ batch of queries. Each block gives at most k rows for each query.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Vectors of different lengths are compared
 on the dimensions they share. A row isn't a candidate for queries with its own id; rows that repeat an id are candidates
-each, and queries each once. Null ids take no part. Ties go to the smaller id. Sums must fit 64 bits.
+each, and one query (of their least vector). Null ids take no part. Ties go to the smaller id. Sums must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     n, tasks = rows.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-n // block), min(tasks, n // LEAST))  # smaller ones as long as tasks would lie idle
     own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     dealt = (
         rows.select(own.alias("block"), F.lit(False).alias("query"), "vec_id", "v")
         .union(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True), "vec_id", "v"))
