@@ -478,7 +478,18 @@ def synthetic_trace(spark, sf_dir):
     return synthetic.generate(spark).withColumn("args", names.args_text())
 
 
-@query()
+@query("SELECT * FROM (VALUES ('layers.0.attn.op_0', CAST(10276 AS BIGINT)), ('layers.0.attn.op_0.backward', CAST(10264 AS BIGINT))) AS t(operator, total_dur)")
+def synthetic_hotspot(spark, sf_dir):
+    return analysis.operator_hotspot(synthetic.generate(spark))
+
+
+@query("""SELECT pid || ':stream ' || lane AS stream, CAST(busy AS BIGINT) AS busy
+FROM (VALUES (100, 7, 2445), (101, 7, 2495), (102, 7, 2469), (103, 7, 2483), (100, 12, 160), (101, 12, 160), (102, 12, 160), (103, 12, 160)) AS t(pid, lane, busy)""")
+def synthetic_balance(spark, sf_dir):
+    return analysis.stream_load_balance(synthetic.generate(spark))
+
+
+@query("SELECT * FROM (VALUES ('good', true, 2, NULL), ('version', false, 3, 'version'), ('zeros', false, 0, 'magic'), ('flags', false, 1, 'reserved')) AS t(name, ok, version, problem)")
 def header_checks(spark, sf_dir):
     folder, magic = shared_dir(spark, "headers"), b"TRACELTH"
     fs, base = file_system(folder)
