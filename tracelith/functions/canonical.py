@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from json.encoder import encode_basestring
 from typing import Any
 
 import pyarrow as pa
@@ -22,8 +24,29 @@ def _number(x: float) -> str:
     return text if any(c in text for c in ".e") else text + ".0"
 
 
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
+#: As many digits as an integer out of range has at least.
+_long = re.compile("[0-9]{19}").search
+
+
 def canonical(x: Any) -> str:
-    """The canonical text of a parsed JSON value. Iterative, so that depth is bounded by memory only."""
+    """The canonical text of a parsed JSON value."""
+    kind = type(x)
+    if kind is str:
+        return encode_basestring(x)
+    if kind is int and -(1 << 63) <= x < 1 << 64:
+        return str(x)
+    try:
+        text = _encode(x)
+        if not _long(text):
+            return text
+    except (ValueError, RecursionError):  # values that aren't finite; too deep for the encoder
+        pass
+    return _walk(x)
+
+
+def _walk(x: Any) -> str:
+    """The same for any value. Iterative, so that depth is bounded by memory only."""
     out: list[str] = []
     todo: list[Any] = [x]
     raw = object()  # marks texts that are ready

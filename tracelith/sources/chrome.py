@@ -29,15 +29,20 @@ from .files import file_system, stem, trace_files
 
 ROW = "row string, source string, rank string, seq bigint, pid bigint, tid string, ph string, name string, ts bigint, dur bigint, cat string, id bigint, bp string, s string, args map<string,string>, metadata_args string, input_bytes bigint"
 _ARROW = pa.schema([(n, pa.map_(pa.string(), pa.string()) if t.startswith("map") else pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split(" ", 1) for x in ROW.split(", "))])
+#: The columns that a row is made of; the source is the same for all rows of a file.
+FIELDS = [n for n in _ARROW.names if n != "source"]
 BATCH, PIECE = 8192, 1 << 20
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def whole(x: Any) -> int | None:
     """A JSON number as a long, floats cut towards zero; null for all else."""
-    if isinstance(x, bool) or not isinstance(x, (int, float)) or isinstance(x, float) and not math.isfinite(x):
+    kind = type(x)
+    if kind is float and math.isfinite(x):
+        x = int(x)
+    elif kind is not int:
         return None
-    return int(x) if _LOW <= x <= _HIGH and _LOW <= int(x) <= _HIGH else None
+    return x if _LOW <= x <= _HIGH else None
 
 
 def process_id(x: Any) -> int:
@@ -49,29 +54,29 @@ def process_id(x: Any) -> int:
 def thread_id(x: Any) -> str:
     if isinstance(x, str):
         return x
-    return str(x) if isinstance(x, int) and not isinstance(x, bool) else "0"
+    return str(x) if type(x) is int else "0"
 
 
 def text(x: Any) -> str | None:
     return x if isinstance(x, str) else None
 
 
-def event_fields(e: dict, seq: int) -> dict[str, Any]:
-    """The columns of one element of ``traceEvents``."""
-    ph, args, tid = (text(e.get("ph")) or "X")[:1], e.get("args"), thread_id(e.get("tid"))
-    out = {"seq": seq, "pid": process_id(e.get("pid")), "tid": tid, "ph": ph, "name": text(e.get("name")) or ""}
+def event_fields(e: dict, seq: int) -> tuple:
+    """One element of ``traceEvents`` as a row, in the order of FIELDS."""
+    get = e.get
+    ph, args, tid, pid, name = (text(get("ph")) or "X")[:1], get("args"), thread_id(get("tid")), process_id(get("pid")), text(get("name")) or ""
     if ph == "M":
-        return out | {"row": "metadata", "metadata_args": None if args is None else canonical(args)}
-    args = args if isinstance(args, dict) else {}
-    stream, cat = args.get("stream"), text(e.get("cat"))
-    if isinstance(stream, (int, str)) and not isinstance(stream, bool):
-        out["tid"] = f"stream {stream}"
+        return "metadata", None, seq, pid, tid, ph, name, None, None, None, None, None, None, None, None if args is None else canonical(args), None
+    cat, found = text(get("cat")), None
+    stream = None
+    if isinstance(args, dict):
+        stream = args.get("stream")
+        found = [(k, canonical(args[k])) for k in sorted(args)] or None
+    if type(stream) is int or isinstance(stream, str):
+        tid = f"stream {stream}"
     elif cat == "gpu_user_annotation":
-        out["tid"] = f"stream {tid}"
-    return out | {
-        "row": "event", "ts": whole(e.get("ts")) or 0, "dur": whole(e.get("dur")), "id": whole(e.get("id")), "cat": cat, "bp": text(e.get("bp")), "s": text(e.get("s")),
-        "args": [(k, canonical(v)) for k, v in sorted(args.items())] or None,
-    }
+        tid = f"stream {tid}"
+    return "event", None, seq, pid, tid, ph, name, whole(get("ts")) or 0, whole(get("dur")), cat, whole(get("id")), text(get("bp")), text(get("s")), found, None, None
 
 
 def _refuse(x: str):
@@ -81,7 +86,7 @@ def _refuse(x: str):
 class Stream:
     """Decodes one JSON value at a time from a byte stream."""
 
-    space = re.compile(r"[ \t\n\r]*")
+    space, comma = re.compile(r"[ \t\n\r]*"), re.compile(r"[ \t\n\r]*,[ \t\n\r]*")
 
     def __init__(self, source):
         self.source, self.utf8, self.json = source, codecs.getincrementaldecoder("utf-8")(), json.JSONDecoder(parse_constant=_refuse)
@@ -121,6 +126,20 @@ class Stream:
                 if isinstance(e, RecursionError) or not self.more():
                     raise ParseError(str(e)) from e
 
+    def followed(self) -> Iterator[Any]:
+        """The values that stand whole in what is held, each with the comma after it: many at little cost. May give none."""
+        decode, comma = self.json.scan_once, self.comma.match
+        self.peek()
+        while True:
+            try:
+                out, end = decode(self.held, self.at)
+            except (StopIteration, json.JSONDecodeError, RecursionError):
+                return  # cut off, or broken: value() tells
+            if not (m := comma(self.held, end)):
+                return
+            self.at = m.end()
+            yield out
+
 
 def elements(source, info: dict) -> Iterator[Any]:
     """The elements of ``traceEvents``; ``info`` gets ``rank`` if the file tells it."""
@@ -132,12 +151,17 @@ def elements(source, info: dict) -> Iterator[Any]:
         if key == "traceEvents":
             found = True
             s.take("[")
-            while s.peek() != "]":
+            after_comma = False
+            while s.peek() != "]" or after_comma:
+                for x in s.followed():
+                    after_comma = True
+                    yield x
+                if after_comma and s.peek() == "]":
+                    raise ParseError("a value expected after a comma")
                 yield s.value()
-                if s.peek() == ",":
+                after_comma = s.peek() == ","
+                if after_comma:
                     s.take(",")
-                    if s.peek() == "]":
-                        raise ParseError("a value expected after a comma")
                 elif s.peek() != "]":
                     raise ParseError("a comma expected")
             s.take("]")
@@ -176,7 +200,7 @@ class ChromeReader(DataSourceReader):
     def read(self, partition):
         path = partition.path
         fs, p = file_system(path)
-        info, low, seq, rows = {}, None, 0, []
+        info, low, seq, rows, only = {}, None, 0, [], self.only
         with fs.open_input_stream(p, compression=None) as raw:
             source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
             try:
@@ -185,23 +209,25 @@ class ChromeReader(DataSourceReader):
                         continue
                     row = event_fields(e, seq)
                     seq += 1
-                    if row["row"] == "event":
-                        low = row["ts"] if low is None else min(low, row["ts"])
-                    if self.only in (None, row["row"]):
+                    if row[0] == "event" and (low is None or row[7] < low):
+                        low = row[7]
+                    if only is None or only == row[0]:
                         rows.append(row)
                     if len(rows) >= BATCH:
                         yield self.batch(rows, path)
                         rows = []
             except (ParseError, UnicodeDecodeError, EOFError, OSError) as e:
                 raise ParseError(f"{path}: {e}") from e
-        if self.only in (None, "file"):
-            rows.append({"row": "file", "rank": info.get("rank") or stem(path) or "0", "ts": low or 0, "seq": seq, "input_bytes": fs.get_file_info(p).size})
+        if only in (None, "file"):
+            last = {"row": "file", "rank": info.get("rank") or stem(path) or "0", "ts": low or 0, "seq": seq, "input_bytes": fs.get_file_info(p).size}
+            rows.append(tuple(map(last.get, FIELDS)))
         if rows:
             yield self.batch(rows, path)
 
     @staticmethod
-    def batch(rows: list[dict], path: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({f.name: [path] * len(rows) if f.name == "source" else [r.get(f.name) for r in rows] for f in _ARROW}, schema=_ARROW)
+    def batch(rows: list[tuple], path: str) -> pa.RecordBatch:
+        columns = dict(zip(FIELDS, zip(*rows, strict=True), strict=True)) | {"source": [path] * len(rows)}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _ARROW], schema=_ARROW)
 
 
 class ChromeTrace(DataSource):
