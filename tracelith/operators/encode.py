@@ -37,18 +37,15 @@ def totals(events: DataFrame) -> DataFrame:
     return _signed(events).groupBy(*SIGNATURE, *STREAM).agg(F.count("*").alias("n"), F.sum(F.coalesce("dur", F.lit(0))).alias("dur_total"), F.min("seq").alias("first_seq"))
 
 
-def stream_order(totals: DataFrame) -> DataFrame:
-    """Streams with their place in the traversal: ranks by text, then pid, tid and ph by first appearance. One row for each stream."""
-    s = totals.groupBy(*STREAM).agg(F.min("first_seq").alias("ph_first"))
-    tid = s.groupBy("rank", "pid", "tid").agg(F.min("ph_first").alias("tid_first"))
-    pid = tid.groupBy("rank", "pid").agg(F.min("tid_first").alias("pid_first"))
-    return s.join(tid, ["rank", "pid", "tid"]).join(pid, ["rank", "pid"]).select(*STREAM, F.struct("rank", "pid_first", "tid_first", "ph_first").alias("place"))
-
-
 def by_stream(events: DataFrame) -> DataFrame:
-    """``totals`` with each stream's place."""
-    t = totals(events)
-    return t.join(stream_order(t), [*STREAM])
+    """``totals`` with each stream's place in the traversal: ranks by text, then pid, tid and ph by first appearance.
+
+    The firsts are windows over the totals, not further passes over the events; all three share one exchange, by process.
+    """
+    out = totals(events)
+    for name, keys in (("pid_first", STREAM[:2]), ("tid_first", STREAM[:3]), ("ph_first", STREAM)):
+        out = out.withColumn(name, F.min("first_seq").over(Window.partitionBy(*keys)))
+    return out.withColumn("place", F.struct("rank", "pid_first", "tid_first", "ph_first")).drop("pid_first", "tid_first", "ph_first")
 
 
 def templates(events: DataFrame) -> DataFrame:
