@@ -230,7 +230,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
     pools = [np.flatnonzero(y == c) for c in (0, 1)]
     for step in range(1, steps + 1):
         # half a batch of each class, so that the rare one is learnt
-        batch = np.concatenate([rng.choice(p, BATCH // 2, len(p) < BATCH // 2) for p in pools])
+        drawn = np.concatenate([rng.choice(p, BATCH // 2, len(p) < BATCH // 2) for p in pools])
+        batch, times = np.unique(drawn, return_counts=True)  # a text that is drawn again isn't computed again
         ids = np.concatenate([each[i] for i in batch])
         first = np.cumsum([0] + [len(each[i]) for i in batch])
         used, inner = np.unique(ids, return_inverse=True)
@@ -244,7 +245,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
         top = np.array([a + logit[a:b].argmax() for a, b in zip(first, first[1:])])
         chosen_ids, mask = inner[top], ids[top] < size
         logit, kept = forward(w, table, chosen_ids, mask, True)
-        d = ((_sigmoid(logit) - (0.97 * y[batch] + 0.015)) / len(batch)).astype(np.float32)
+        d = ((_sigmoid(logit) - (0.97 * y[batch] + 0.015)) * times / len(drawn)).astype(np.float32)
         g, dx = backward(w, chosen_ids, mask, kept, d)
         dt = np.zeros((len(used), 2, 3 * HIDDEN), np.float32)
         np.add.at(dt[:, 0], chosen_ids.T, dx[0])
