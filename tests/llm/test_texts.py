@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracelith.llm import bpe, common, licenses, minhash, packing, simhash
+from tracelith.llm import bpe, common, licenses, minhash, packing, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "Lorem ipsum dolor sit amet " * 20_000
@@ -80,6 +80,56 @@ def test_licenses_odd(odd, none):
     assert by[1].n_words == by[2].n_words == 0 and by[3].n_words == 100_000 and by[1].first_word is None and by[1].labels == ""
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+
+
+def test_wrapped_notices(spark):
+    texts = [
+        MIT, BSD, "released under\nthe mit license", "a\n\nreleased\nunder\n\nthe mit\nlicense", "Released under the MIT License.\nReleased under the MIT License.",
+        "it was released under\n" + "many other words " * 9 + "the mit license", "be nd at on or he he\nLicensed under CC BY-NC 4.0.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = [(x.labels, x.n_blocks, x.score) for x in licenses.scan(df, wrapped=True).orderBy("doc_id").collect()]
+    assert r[:2] == [("mit-text", 1, 1.0), ("bsd-text", 1, 1.0)] and r[2] == r[3] == ("mit,mit-notice", 1, 1.0)
+    assert r[4] == ("mit,mit-notice", 2, 1.0) and r[5][:2] == ("mit", 0) and r[6] == ("cc-by,cc-by-nc-notice", 1, 1.0)
+    assert [x.labels for x in licenses.scan(df).orderBy("doc_id").collect()][:3] == ["", "", "mit"]
+
+
+def test_query_finds_wrapped_notices(spark, tmp_path):
+    spark.createDataFrame([(1, MIT)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op1_licenses(spark, str(tmp_path)).first().labels == "mit-text"
+
+
+def test_wrapped_against_brute_force():
+    r = random.Random(2)
+    ix = licenses.Prefixes(licenses.TEMPLATES, {}, 0.9)
+    for _ in range(300):
+        words = " ".join(" ".join(r.sample(t.split(), len(t.split()) - r.randint(0, 1))) for t in r.sample(sorted(licenses.TEMPLATES.values()), 2)).split()
+        for _ in range(r.randint(0, 4)):
+            words.insert(r.randrange(len(words)), "x")
+        lines = [[]]
+        for w in words:
+            lines[-1].append(w.encode())
+            if r.random() < 0.2:
+                lines.append([])
+        flat = [(w, i) for i, line in enumerate(lines) for w in line]
+        want = {}
+        for label, (tokens, need, span) in ix.sets.items():
+            for a in range(len(flat)):
+                part = flat[a : a + span]
+                n = len(tokens & {w for w, _ in part})
+                if flat[a][0] in tokens and n >= need and max(i for w, i in part if w in tokens) > flat[a][1]:
+                    want[label] = max(want.get(label, 0), n / len(tokens))
+        found, _ = ix.wrapped(lines, [x for x, _ in ix.meets([w for w, _ in flat])])
+        assert dict(found) == want
+
+
 def test_templates_are_bounded(none):
     with pytest.raises(ValueError):
         licenses.scan(none, templates={"x": "y " * licenses.MAX_TEMPLATE_BYTES})

@@ -1,11 +1,14 @@
 """License scan: an exact set-similarity join of text blocks with license templates, beside literal base phrases.
 
-A block is a line of a text; its tokens are the distinct words (ASCII letters lower-cased, everything that is neither an
+A block is a line of a text; with ``wrapped``, as the query has it, also any words in sequence that span line breaks, up to
+``SPAN`` times as many as the template has, so that a hard-wrapped notice is found (of whole lines joined, long ones would
+meet by words that stand far from the notice). A block's tokens are the distinct words (ASCII letters lower-cased, everything that is neither an
 ASCII letter or digit nor beyond ASCII separates words). A block meets a template if it holds at least ``ceil(threshold *
 size)`` of the template's distinct tokens. Candidates come from prefixes in a global order, rarest token of the corpus
 first: of a template of n tokens of which k are needed, any block that meets it holds one of the first n - k + 1. Length
 (the block has k distinct words at least) and position (what is left of the template can still reach k) filter before
-the exact count. All blocks that meet a template are found; the filters lose none.
+the exact count. All blocks that meet a template are found; the filters lose none. ``n_blocks`` counts the lines that
+meet a template, and the least runs of lines that hold such words in sequence and no line that meets the template alone.
 
 Null texts count as empty; empty texts give zero words and no labels; rows are kept one for one, also repeated ones and
 those whose doc_id is null; other columns of the input are ignored.
@@ -13,7 +16,9 @@ those whose doc_id is null; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ TEMPLATES = {
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.9
+#: Longest block across lines, in words of the template: room for words of comment marks and the like.
+SPAN = 1.5
 #: Templates travel to every task inside the function; beyond this size ``scan`` refuses.
 MAX_TEMPLATE_BYTES = 1 << 20
 
@@ -87,6 +94,7 @@ class Prefixes:
                 self.index.setdefault(w, []).append((len(self.rows), i))
             self.rows.append((label, ordered, need))
         self.keys = frozenset(self.index)
+        self.sets = {label: (frozenset(tokens), need, math.ceil(SPAN * len(words_of(templates[label])))) for label, tokens, need in self.rows}
 
     def meets(self, words: list[bytes]) -> list[tuple[str, float]]:
         """Each template that the block of these words meets, with the share of its tokens that the block holds."""
@@ -105,8 +113,46 @@ class Prefixes:
                     out.append((label, n / len(tokens)))
         return out
 
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, phrases: dict[str, str] | None = None) -> DataFrame:
+    def wrapped(self, lines: list[list[bytes]], labels: list[str]) -> tuple[list[tuple[str, float]], int]:
+        """Which of the templates of ``labels`` words in sequence across lines meet, with the greatest share; how many least runs of lines hold such words."""
+        out, runs = [], set()
+        for label in labels:
+            tokens, need, span = self.sets[label]
+            alone = [len(tokens.intersection(x)) >= need for x in lines]
+            places, at = [], 0
+            for i, line in enumerate(lines):
+                places += [(at + k, i, w) for k, w in enumerate(line) if w in tokens]
+                at += len(line)
+            own: list[tuple[int, int]] = []
+            most = end = 0
+            held: dict[bytes, int] = {}
+            for start, i, w in places:
+                while end < len(places) and places[end][0] < start + span:
+                    held[places[end][2]] = held.get(places[end][2], 0) + 1
+                    end += 1
+                if len(held) >= need and places[end - 1][1] > i:
+                    most = max(most, len(held))
+                    seen: set[bytes] = set()
+                    for _, j, x in places[bisect.bisect_left(places, (start,)) : end]:
+                        seen.add(x)
+                        if len(seen) >= need:
+                            break
+                    # Starts and ends ascend, so a run can only hold one that starts or ends with it.
+                    if not any(alone[i : j + 1]):
+                        if own and own[-1][1] == j:
+                            own[-1] = (i, j)
+                        elif not own or own[-1][0] < i:
+                            own.append((i, j))
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+            if most:
+                out.append((label, most / len(tokens)))
+            runs.update(own)
+        return out, len(runs)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, phrases: dict[str, str] | None = None, wrapped: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text); see SCHEMA. ``score``: 1 if a phrase stands there, else the best share of a met template, else 0."""
     templates, phrases = templates or TEMPLATES, phrases or BASE
     if sum(map(len, templates.values())) > MAX_TEMPLATE_BYTES:
@@ -133,11 +179,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                         at = joined.find(p, at + 1)
             more, best, blocks = set(), 1.0 if places else 0.0, 0
             if not index.keys.isdisjoint(there):
-                for line in flat.split(b"\n"):
-                    if found := index.meets(line.split()):
+                lines = [line.split() for line in flat.split(b"\n")]
+                for line in lines:
+                    if found := index.meets(line):
                         blocks += 1
                         more.update(x for x, _ in found)
                         best = max(best, max(s for _, s in found))
+                # What the whole text doesn't meet, no part of it meets.
+                if wrapped and len(lines) > 1 and (all_of := index.meets(words)):
+                    found, n = index.wrapped(lines, [x for x, _ in all_of])
+                    blocks += n
+                    more.update(x for x, _ in found)
+                    best = max([best, *(s for _, s in found)])
             return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(kinds)), ",".join(sorted(kinds | more)), best, blocks
 
         def rows(x):

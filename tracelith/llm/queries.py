@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
