@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a character convolutional network in numpy over every candidate with its context.
 
 Base spans come from three patterns and always stay. Further candidates are runs of token characters that hold a digit and
-a letter and overlap no base span; the network reads each candidate and the text around it, and those at or above its
+a letter, or what base spans leave of such a run, if it is still one; the network reads each candidate and the text around it, and those at or above its
 threshold become spans of kind ``model``. It also scores the base spans (``confidence`` is the greatest of all scores).
 The network is trained on labelled findings written by ``findings`` (secrets of several forms, and things that look like
 them: identifiers, paths, numbers, placeholders, repeated characters) from a fixed seed. A held-out part of them calibrates
@@ -32,7 +32,8 @@ BASE = (
     ("hex", r"[0-9a-f]+", 0, 32),
 )
 KINDS = (*(k for k, *_ in BASE), "model")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, confidence double"
 REDACTED = "[REDACTED]"
 #: What the network reads: characters before, the candidate's first and last ones, characters after.
@@ -60,12 +61,21 @@ def base_spans(text: str, rules: list) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, rule: re.Pattern, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    out = []
+    """Runs of token characters, or what the base spans (``taken``, by start) leave of them, that are long enough and hold a digit and a letter."""
+    out, k, covered = [], 0, 0
     for m in rule.finditer(text):
-        a, b = m.span()
-        x = m[0]
-        if any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and not any(a < e and s < b for s, _, e in taken):
-            out.append((a, b))
+        at, end = m.span()
+        parts = []
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] > max(at, covered):
+                parts.append((max(at, covered), taken[k][0]))
+            covered = max(covered, taken[k][2])
+            k += 1
+        parts.append((max(at, covered), end))
+        for a, b in parts:
+            x = text[a:b]
+            if b - a >= LEAST and any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
+                out.append((a, b))
     return out
 
 
