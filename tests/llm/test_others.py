@@ -208,6 +208,18 @@ def test_candidates_against_every_place():
         assert secrets.candidates(text, rule, taken) == want
 
 
+def test_long_candidates_are_read_whole(spark, monkeypatch):
+    path = "/v1/organisations/acme-production/services/"
+    texts = [f"see {path}{KEY}/settings/members/list for", f"see acme-production-services-{KEY}-settings-members-of-the-list for", f"see {path * 20}{KEY}{path * 20} for", f"see {path}settings/members/list/of/all/users/2 for", f"a {path * 3000}{KEY} b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert [x.n_model for x in secrets.scan(docs).orderBy("doc_id").collect()] == [1, 1, 1, 0, 1]
+    assert not [x.text for x in secrets.redact(docs).collect() if KEY in x.text]
+    whole = secrets.Scanner(secrets.trained()).scan(texts)
+    monkeypatch.setattr(secrets, "HELD", 7)
+    small = secrets.Scanner(secrets.trained()).scan(texts[:4])
+    assert [s for s, _ in small] == [s for s, _ in whole[:4]] and np.allclose([p for _, p in small], [p for _, p in whole[:4]])
+
+
 def test_network_on_findings_of_its_own():
     net = secrets.trained()
     rows, labels = secrets.findings(1200, 99)

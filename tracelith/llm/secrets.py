@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a character convolutional network in numpy over every candidate with its context.
 
 Base spans come from three patterns and always stay. Further candidates are runs of token characters that hold a digit and
-a letter, or what base spans leave of such a run, if it is still one; the network reads each candidate and the text around it, and those at or above its
+a letter, or what base spans leave of such a run, if it is still one; the network reads each candidate and the text around it (of a long one, overlapping views of the whole; the greatest score counts), and those at or above its
 threshold become spans of kind ``model``. It also scores the base spans (``confidence`` is the greatest of all scores).
 The network is trained on labelled findings written by ``findings`` (secrets of several forms, and things that look like
 them: identifiers, paths, numbers, placeholders, repeated characters) from a fixed seed. A held-out part of them calibrates
@@ -18,6 +18,7 @@ import hashlib
 import random
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +40,9 @@ REDACTED = "[REDACTED]"
 #: What the network reads: characters before, the candidate's first and last ones, characters after.
 BEFORE, HEAD, TAIL, AFTER = 24, 40, 16, 12
 WIDE, DIM, WIDTH, FILTERS, CLASSES = BEFORE + HEAD + TAIL + AFTER, 8, 5, 24, 260
+#: Characters between the views of a longer candidate; views that are held at once.
+SLIDE, HELD = 16, 8192
+_PART = re.compile(rf"[A-Za-z0-9+_-]{{{LEAST},}}")
 FINDINGS, EPOCHS, SEED, RECALL = 3000, 6, 5, 0.97
 
 
@@ -88,6 +92,17 @@ def view(text: str, a: int, b: int) -> list[int]:
     return [0] * (BEFORE - len(left)) + left + code(head, 1) + [0] * (HEAD - len(head)) + code(tail, 1) + [0] * (TAIL - len(tail)) + right + [0] * (AFTER - len(right))
 
 
+def views(text: str, a: int, b: int) -> Iterator[list[int]]:
+    """All that the network reads of a candidate: its ends, and of one that is longer than a view, overlapping views of the whole and the parts between / and =."""
+    yield view(text, a, b)
+    if b - a > HEAD + TAIL:
+        for i in (*range(a, b - HEAD - TAIL, SLIDE), b - HEAD - TAIL):
+            yield view(text, i, i + HEAD + TAIL)
+        for m in _PART.finditer(text, a, b):
+            if m.end() - m.start() < b - a and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+                yield view(text, *m.span())
+
+
 def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[list[list[int]], list[int]]:
     """Labelled findings: views of candidates in invented prose, 1 for secrets."""
     r = random.Random(seed)
@@ -197,19 +212,32 @@ class Scanner:
 
     def scan(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], float]]:
         """(spans as (start, kind, end) in that order, greatest score) of each text."""
-        base, views, of = [], [], []
+        base, held, of, best = [], [], [], []
+        greatest: dict[tuple[int, int, int], float] = {}
+
+        def flush():
+            for (k, a, kind, b), p in zip(of, self.net.scores(held).tolist(), strict=True):
+                best[k] = max(best[k], p)
+                if kind == 3:
+                    greatest[k, a, b] = max(greatest.get((k, a, b), 0.0), p)
+            held.clear()
+            of.clear()
+
         for k, text in enumerate(texts):
             text = text or ""
             spans = base_spans(text, self.rules)
             base.append(spans)
+            best.append(0.0)
             for a, kind, b in [*spans, *((a, 3, b) for a, b in candidates(text, self.more, spans))]:
-                of.append((k, a, kind, b))
-                views.append(view(text, a, b))
-        best = [0.0] * len(texts)
-        for (k, a, kind, b), p in zip(of, self.net.scores(views).tolist(), strict=True):
-            best[k] = max(best[k], p)
-            if kind == 3 and p >= self.net.threshold:
-                base[k].append((a, kind, b))
+                for x in views(text, a, b) if kind == 3 else [view(text, a, b)]:
+                    of.append((k, a, kind, b))
+                    held.append(x)
+                    if len(held) >= HELD:
+                        flush()
+        flush()
+        for (k, a, b), p in greatest.items():
+            if p >= self.net.threshold:
+                base[k].append((a, 3, b))
         return [(sorted(s), p) for s, p in zip(base, best, strict=True)]
 
 
