@@ -341,6 +341,14 @@ def test_toxicity_frames(scored, odd, none):  # noqa: F811
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_clean_without_both_classes_keeps_all(scored, odd):  # noqa: F811
+    _, docs, labels, _ = scored
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    for some in (labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0"), labels.where(held), labels.where("doc_id = 99999")):
+        with pytest.warns(UserWarning, match="both classes"):
+            assert toxicity.clean(docs, some).count() == docs.count() and toxicity.clean(odd, some).columns == odd.columns
+
+
 def test_full_table_starts_anew(scored, monkeypatch):
     rows, docs, labels, got = scored
     model = toxicity.train(*toxicity.training_rows(docs, labels))

@@ -17,6 +17,7 @@ is never held out. Other columns are never read for a score.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable
 
 import numpy as np
@@ -388,10 +389,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, all columns as they are."""
+    """The rows of ``docs`` that aren't predicted toxic, all columns as they are. All rows, with a warning, if the labels leave a class without a training text: a constant score tells no row from another."""
     model = train(*training_rows(docs, labels, sample))
     if isinstance(model, float):
-        return docs if model < 0.5 or not docs.take(1) else docs.where("false")
+        warnings.warn("no training texts of both classes, so no document is taken for toxic", stacklevel=2)
+        return docs
 
     def make():
         scorer = Scorer(model)
