@@ -1,7 +1,9 @@
 """Top-k, chat, WARC, secrets, toxicity, pipeline: brute force, round trips, held-out accuracy, odd tables."""
 
+import ast
 import gzip
 import hashlib
+import inspect
 import io
 import json
 import math
@@ -286,6 +288,11 @@ def test_gru_gradient():
         flat[i] = was
 
 
+def test_every_name_is_defined_once():
+    names = [x.name for x in ast.parse(inspect.getsource(toxicity)).body if hasattr(x, "name")]
+    assert len(names) == len(set(names))
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 96, 97, 1000):
         w = toxicity.windows(np.arange(n), -1)

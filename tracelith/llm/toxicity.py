@@ -3,8 +3,8 @@
 A word's input is the sum of a learned vector for the word (for the commonest words of the training texts) and the mean of learned
 vectors of its hashed character n-grams and stems (for all words), and the strongest evidence among these n-grams. Windows of ``WINDOW`` words overlap by half and cover the whole
 text, the last one ending with it. A window's states are pooled by attention and give a logit; a document's is the
-greatest of its windows'. In training the greatest window carries the gradient. Vectors start from smoothed log odds of
-the training texts. Inference keeps each word's input projections in a table, so a step costs one small product.
+greatest of its windows'. In training the greatest window carries the gradient. Vectors start from the
+signed root of each feature's likelihood ratio between the classes of the training texts, less what chance gives (``evidence``). Inference keeps each word's input projections in a table, so a step costs one small product.
 
 The training sample is bounded: at most ``SAMPLE`` labelled documents of each class, those with the least hashes of their
 ids; equal texts count once. Only these reach the driver. Without both classes every score is the share of the class
@@ -163,37 +163,6 @@ class Inputs:
         self.at = np.cumsum(self.sizes) - self.sizes  # the last one stands for padding
 
 
-def evidence(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log odds (thirds) of each feature, counting documents that hold it; 0 where the likelihood ratio is no more than chance gives among many features."""
-    n = np.zeros((2, size))
-    for ids, label in zip(rows, y, strict=True):
-        n[label, np.unique(ids)] += 1
-    of = np.bincount(y, minlength=2)[:, None]
-    g = 2 * (n * np.log(np.maximum(n, 1e-9) / np.maximum(n.sum(0) * of / of.sum(), 1e-9))).sum(0)
-    odds = np.log((n[1] + 0.5) / (of[1] + 1)) - np.log((n[0] + 0.5) / (of[0] + 1))
-    return np.clip(odds, -6, 6) / 3 * (g > CHANCE**2)
-
-
-def word_vectors(w: Weights, own: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The inputs of words, given the rows of their own vectors and, one word after another, their n-grams."""
-    at = np.cumsum(sizes) - sizes
-    v = w["word"][own] + np.add.reduceat(w["gram"][grams & BUCKETS - 1], at) / sizes[:, None]
-    return np.concatenate((v, np.maximum.reduceat(w["hint"][grams], at)[:, None]), 1)
-
-
-class Inputs:
-    """Word ids of training texts, with the n-grams of each."""
-
-    def __init__(self, texts: list[str]):
-        self.index: dict[str, int] = {}
-        self.ids = [np.array([self.index.setdefault(x, len(self.index)) for x in words_of(t)], np.int64) for t in texts]
-        words = list(self.index)
-        parts = [grams_of(words[a : a + 16_384]) for a in range(0, len(words), 16_384)]
-        self.flat = np.concatenate([*(flat.astype(np.int32) for flat, _ in parts), np.zeros(1, np.int32)])
-        self.sizes = np.concatenate([*(sizes for _, sizes in parts), np.ones(1, np.int64)])
-        self.at = np.cumsum(self.sizes) - self.sizes  # the last one stands for padding
-
-
 def evidence(rows: Iterable[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Signed root of each feature's likelihood ratio between the classes (documents that hold it), less what chance gives among many features."""
     n = np.zeros((2, size))
