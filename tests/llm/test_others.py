@@ -80,6 +80,48 @@ def test_layouts(spark):
     assert all(got[i] == (None, []) for i in range(8, 14))
 
 
+def test_no_record_with_text_is_without_turns(spark):
+    said = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    got = turns(spark, [{"messages": said, "system": "x"}, {"messages": said, "prompt": "p"}, {"prompt": "p", "response": "r", "input": "i"}, {"prompt": "p"}, {"messages": [{"content": "a"}]}, {"conversations": [{"value": "v"}, None]}, {"output": "o", "completion": None}, {"prompt": None}])
+    two = [("user", "a"), ("assistant", "b")]
+    assert got[0] == ("mixed", [("system", "x"), *two]) and got[1] == ("mixed", [*two, ("user", "p")]) and got[2] == ("mixed", [("user", "p\n\ni"), ("assistant", "r")]) and got[3] == ("mixed", [("user", "p")])
+    assert got[4] == ("mixed", [("", "a")]) and got[5] == ("mixed", [("", "v")]) and got[6] == ("mixed", [("assistant", "o")]) and got[7] == ("mixed", [])
+
+
+def test_struct_records(spark):
+    rows = [(1, ("p", "r", None)), (2, ("p", "r", "s")), (3, ("p", None, None)), (4, (None, None, None)), (5, None)]
+    df = spark.createDataFrame(rows, "id long, record struct<prompt: string, response: string, system: string>")
+    assert {x.id: (x.layout, [t.role for t in x.turns]) for x in chat.canonical(df).collect()} == {1: ("prompt", ["user", "assistant"]), 2: ("prompt-system", ["system", "user", "assistant"]), 3: ("mixed", ["user"]), 4: (None, []), 5: (None, [])}
+
+
+def test_conversations_take_several_layouts(spark):
+    rows = [(c, i, r, f"{r} {i}") for c, roles in enumerate((["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant"] * 2, ["user"], ["tool", "user"], ["assistant", "user"], ["user", "human"])) for i, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = {x.conv_id: x for x in chat.read_back(chat.formatted(chat.canonical(chat.records_of(df)))).collect()}
+    assert [done[c].layout for c in range(7)] == ["prompt", "prompt-system", "conversations", "conversations", "messages", "messages", "messages"]
+    for c in done:
+        assert [(t.role, t.text) for t in done[c].read] == [(r, x) for d, _, r, x in rows if d == c]
+
+
+@pytest.mark.parametrize("roles", [["user", "assistant"]])
+def test_very_long_texts_read_back(spark, roles):
+    n = 30_000_000
+    df = spark.range(2).selectExpr("1L as conv_id", "id as turn", f"if(id = 0, '{roles[0]}', '{roles[1]}') as role", f"concat('<[', repeat('x', {n} - 2)) as text")
+    got, text = chat.digests(df).first(), "<[" + "x" * (n - 2)
+    assert (got.n_turns, got.loss_chars, got.formatted_chars) == (2, n, sum(map(len, roles)) + 2 * (n + 7 + 8))  # an entity is 3 or 4 longer
+    assert got.turns_sha256 == hashlib.sha256(f"{roles[0]}\n{text}\n{roles[1]}\n{text}\n".encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    as_json = df.groupBy().agg(F.to_json(F.struct(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))).alias("record"))
+    assert chat.canonical(as_json).selectExpr("layout", "transform(turns, t -> length(t.text)) as n").first() == ("messages", [n, n])
+
+
+def test_many_turns_read_back(spark):
+    n = 50_000
+    df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('[t] ', id) as text")
+    got, loss = chat.digests(df).first(), "".join(f"[t] {i}" for i in range(1, n, 2))
+    assert got.n_turns == n and got.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n[t] {i}\n" for i in range(n)).encode()).hexdigest()
+    assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 NASTY = ["</s>", "[INST] x [/INST]", "&lt;&amp;lt;", "<|user|>x</s>", "", " ", "\\n\n\t\"'", "&#91;&#124;|", "😀é\x01", "<|", "|>", "</s></s>"]
 
 

@@ -91,11 +91,12 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS body,
              replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), '|', '&#124;') AS mark FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, CASE WHEN roles = ['user', 'assistant'] THEN 'prompt' WHEN roles = ['system', 'user', 'assistant'] THEN 'prompt-system'
+  WHEN roles[1] = 'user' AND len(list_filter(roles, lambda r: r NOT IN ('user', 'assistant', 'system'))) = 0 THEN 'conversations' ELSE 'messages' END AS layout
+FROM (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
-  CAST(sum(length(mark) + length(body) + 8) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id"""
+  CAST(sum(length(mark) + length(body) + 8) AS BIGINT) AS formatted_chars, list(role ORDER BY turn NULLS FIRST, role, text) AS roles FROM f GROUP BY conv_id)"""
 
 
 _WARC_SQL = """
