@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,8 +12,7 @@ from .helpers import events
 
 
 def round_trip(df):
-    t = encode.templates(df)
-    return encode.decode(encode.instances(df, t), t)
+    return encode.encode(df).decoded
 
 
 def test_optional_fields_dont_shift(spark):
@@ -41,6 +42,29 @@ def test_template_ids_follow_the_traversal(spark):
     assert ids == {("10", 1): (0, 0), ("10", 4): (0, 1), ("10", 3): (1, 0), ("10", 2): (2, 0), ("2", 0): (3, 0)}
 
 
+def test_ids_over_many_blocks(spark, monkeypatch):
+    """Ids as a walk gives them: ranks by text, then sources, then pid, tid and ph by first appearance."""
+    monkeypatch.setattr(encode, "BLOCK", 4)
+    r = random.Random(1)
+    rows = [{"rank": r.choice(["2", "10"]), "pid": r.randint(1, 2), "tid": r.choice(["a", "b"]), "name": r.choice("vwxyz") + "1" * r.randint(0, 2), "cat": r.choice([None, "", "c"])} for _ in range(120)]
+    sources = [r.choice(["s", "t"]) for _ in rows]
+    df = events(spark, rows).withColumn("source", F.element_at(F.array(*map(F.lit, sources)), (F.col("seq") + 1).cast("int")))
+    order = {}
+    for i, x in enumerate(rows):
+        origin = x["rank"], sources[i]
+        for k in (1, 2):
+            order.setdefault((*origin, *(x[c] for c in ("pid", "tid")[:k])), i)
+    place = lambda i: (rows[i]["rank"], sources[i], order[rows[i]["rank"], sources[i], rows[i]["pid"]], order[rows[i]["rank"], sources[i], rows[i]["pid"], rows[i]["tid"]], i)
+    templates, counts, want = {}, {}, {}
+    for i in sorted(range(len(rows)), key=place):
+        sig = rows[i]["name"].replace("11", "0").replace("1", "0"), rows[i]["cat"]
+        t = templates.setdefault(sig, len(templates))
+        want[i] = t, counts.setdefault(t, 0)
+        counts[t] += 1
+    assert {x.seq: (x.template_id, x.instance_id) for x in encode.instances(df).collect()} == want
+    assert {x.template_id: x.n for x in encode.templates(df).collect()} == counts
+
+
 _EVENT = st.fixed_dictionaries({
     "rank": st.sampled_from(["0", "1"]), "pid": st.integers(1, 2), "tid": st.sampled_from(["cpu", "stream 7"]), "ph": st.sampled_from("Xi"), "name": st.text("ab01", max_size=5), "ts": st.integers(0, 99),
     "dur": st.none() | st.integers(0, 9), "cat": st.none() | st.sampled_from(["", "c"]), "id": st.none() | st.integers(0, 3), "args": st.none() | st.dictionaries(st.sampled_from("kl"), st.sampled_from(["0", "0.0", '"x"']), min_size=1),
@@ -154,8 +178,8 @@ def test_argument_encodings(spark):
         "dict": ['"a"', '"b"', '"a"', '"b"'], "str": ['"a"', '"b"', '"c"', '"d"'], "mixed": ["0", "14.9", "9223372036854775808", "1"], "shape": ["[0]", "[0.0]", "[0]", "[0]"], "null": ["null", "1", "2", "3"],
     }
     df = events(spark, [{"args": {k: v[i] for k, v in values.items()}} for i in range(4)])
-    t = encode.templates(df)
-    found = {r.arg_key: r.encoding for r in encodings.arguments(encode.instances(df, t), t).collect()}
+    e = encode.encode(df)
+    found = {r.arg_key: r.encoding for r in encodings.arguments(e.instance, e.template).collect()}
     assert found == {"same": "ExactConstant", "bool": "Bool", "i32": "I32", "i64": "I64", "f64": "F64", "dict": "StrDict", "str": "Str", "mixed": "Exact", "shape": "Exact", "null": "Exact"}
 
 
@@ -171,8 +195,8 @@ def test_digit_encodings(spark):
 
 def test_dictionary_is_by_first_appearance(spark):
     df = events(spark, [{"args": {"k": v}} for v in ('"b"', '"a"', '"b"', '"c"')])
-    t = encode.templates(df)
-    assert {r.value: r.value_id for r in encodings.dictionary(encode.instances(df, t), t).collect()} == {'"b"': 0, '"a"': 1, '"c"': 2}
+    e = encode.encode(df)
+    assert {r.value: r.value_id for r in encodings.dictionary(e.instance, e.template).collect()} == {'"b"': 0, '"a"': 1, '"c"': 2}
 
 
 def test_empty_trace(spark):

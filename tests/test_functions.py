@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracelith.functions import names
-from tracelith.functions.canonical import canonical, parse
+from tracelith.functions.canonical import canonical, canonical_json, parse
 
 NAMES = ["wgrad-12-3", "succl:broadcast Graph (0x4387e040)", "ptr=0x0", "", "00", "a0b0", "9" * 45, "x٤٥y", "no digits", "007.040"]
 
@@ -84,3 +84,9 @@ def test_json_kinds(spark):
 
 def test_digit_pattern_is_unicode():
     assert all(unicodedata.category(c) == "Nd" for c in re.findall(r"\d", "1٤½"))
+
+
+def test_canonical_of_what_is_too_deep_or_too_long(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    rows = spark.createDataFrame([(0, deep), (1, "9" * 5000), (2, str(2**1024 - 1)), (3, "7")], "i long, t string")
+    assert [r.c for r in rows.select("i", canonical_json("t").alias("c")).orderBy("i").collect()] == [None, "null", "null", "7"]

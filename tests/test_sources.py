@@ -7,7 +7,7 @@ from tracelith import cli
 from tracelith.operators import encode
 from tracelith.sources import store, writer
 from tracelith.sources.chrome import header_check, read_trace
-from tracelith.sources.files import stem, trace_files
+from tracelith.sources.files import shared_dir, stem, trace_files
 from tracelith.streaming import ingest
 
 from .helpers import TINY, put
@@ -21,10 +21,10 @@ def fails(spark, path, match):
 def test_tiny_trace(spark, tmp_path):
     t = read_trace(spark, put(tmp_path / "tiny.json"))
     rows = t.events.orderBy("seq").collect()
-    assert [(r.rank, r.tid, r.ts, r.dur, r.id) for r in rows] == [("0", "cpu", 0, 10, 11), ("0", "cpu", 20, None, None), ("0", "stream 7", 1, 8, 12)]
-    assert rows[0].args == {"correlation": "42"} and rows[1].args == {"label": '"instant-like"'}
-    assert [(r.pid, r.tid, r.args) for r in t.metadata.orderBy("seq").collect()] == [(7, "cpu", '{"name":"python"}'), (8, "worker", '{"name":"loader"}')]
-    assert t.files.first().start_ts == 1000 and encode.templates(t.events).count() == 3
+    assert [(r.rank, r.pid, r.tid, r.ts, r.dur, r.id) for r in rows] == [("3", 31, "main", 40, 25, 5), ("3", 31, "main", 0, None, None), ("3", 0, "stream 20", 11, 14, None)]
+    assert rows[0].args == {"External id": "900", "shape": "[4,2.0]"} and rows[1].args == {"note": '"no duration"'}
+    assert [(r.pid, r.tid, r.args) for r in t.metadata.orderBy("seq").collect()] == [(31, "main", '{"label":"trainer"}'), (0, "99", None)]
+    assert t.files.first().start_ts == 52_000 and encode.templates(t.events).count() == 3
 
 
 def test_gzip_reads_alike(spark, tmp_path):
@@ -91,14 +91,14 @@ def test_folder_keeps_rows_of_equal_ranks(spark, tmp_path):
 
 def test_store_and_restore(spark, tmp_path):
     s = store.save(read_trace(spark, put(tmp_path / "tiny.json")), str(tmp_path / "out"))
-    assert s.template.count() == 3 and s.manifest["entries"] == [{"source": "tiny.json", "artifact": "tiny", "rank": "0", "events": 3, "input_bytes": (tmp_path / "tiny.json").stat().st_size}]
+    assert s.template.count() == 3 and s.manifest["entries"] == [{"source": "tiny.json", "artifact": "tiny", "rank": "3", "events": 3, "input_bytes": (tmp_path / "tiny.json").stat().st_size}]
     writer.write_json(encode.absolute(s.events(), s.starts), str(tmp_path / "back.json"), s.metadata)
     back = json.loads((tmp_path / "back.json").read_text())
-    assert back["distributedInfo"] == {"rank": 0} and len(back["traceEvents"]) == 5
-    assert [(e["ph"], e["pid"], e["tid"]) for e in back["traceEvents"][:2]] == [("M", 7, "cpu"), ("M", 8, "worker")]
+    assert back["distributedInfo"] == {"rank": 3} and len(back["traceEvents"]) == 5
+    assert [(e["ph"], e["name"]) for e in back["traceEvents"][:2]] == [("M", "thread_name"), ("M", "process_labels")]
     events = sorted(back["traceEvents"][2:], key=lambda e: e["ts"])
-    assert [e["ts"] for e in events] == [1000, 1001, 1020] and events[0]["args"] == {"correlation": 42} and events[1]["tid"] == "stream 7"
-    assert {k: v for k, v in events[0].items() if k != "ts"} == {k: v for k, v in TINY["traceEvents"][2].items() if k != "ts"}
+    assert [e["ts"] for e in events] == [52_000, 52_011, 52_040] and events[0]["args"] == {"note": "no duration"} and events[1]["tid"] == "stream 20"
+    assert events[2] == TINY["traceEvents"][0]
     with pytest.raises(FileExistsError):
         store.save(read_trace(spark, str(tmp_path / "tiny.json")), str(tmp_path / "out"))
 
@@ -113,7 +113,7 @@ def test_written_text_is_escaped(spark, tmp_path):
 
 def test_several_ranks_are_no_json_trace(spark, tmp_path):
     put(tmp_path / "a.json")
-    put(tmp_path / "b.json", TINY | {"distributedInfo": {"rank": 1}})
+    put(tmp_path / "b.json", TINY | {"distributedInfo": {"rank": 4}})
     with pytest.raises(Exception, match="one rank"):
         writer.write_json(read_trace(spark, str(tmp_path)).events, str(tmp_path / "out.json"))
 
@@ -133,11 +133,11 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["inspect", out]) == 0
     found = json.loads(capsys.readouterr().out)
-    assert (found["templates"], found["event_instances"], found["ranks"]) == (3, 3, ["0"])
+    assert (found["templates"], found["event_instances"], found["ranks"]) == (3, 3, ["3"])
     assert cli.main(["analyze", out, "--task", "operator_hotspot"]) == 0
-    assert json.loads(capsys.readouterr().out) == [{"operator": "model.layers.0.linear", "total_dur": 10}]
+    assert json.loads(capsys.readouterr().out) == [{"operator": "block.0.mlp.0.gelu", "total_dur": 25}]
     assert cli.main(["analyze", out, "--task", "stream_load_balance"]) == 0
-    assert json.loads(capsys.readouterr().out) == [{"stream": "7:stream 7", "busy": 8}]
+    assert json.loads(capsys.readouterr().out) == [{"stream": "0:stream 20", "busy": 14}]
     assert cli.main(["analyze", out, "--task", "nothing"]) == 1
     assert cli.main(["verify", tiny]) == 0 and cli.main(["verify", tiny, "--artifact", out]) == 0
     changed = put(tmp_path / "changed.json", TINY | {"traceEvents": TINY["traceEvents"][:-1]})
@@ -174,9 +174,22 @@ def test_files_that_land_are_stored(spark, tmp_path):
     run = lambda: ingest.store_new_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     run()
     put(tmp_path / "in/b.json.gz")
+    put(tmp_path / "in/a.json.gz")
     run()
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
-    assert store.StoredTrace(spark, str(tmp_path / "out/b")).events().count() == 3
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch-000000000", "batch-000000001"]
+    second = store.StoredTrace(spark, str(tmp_path / "out/batch-000000001"))
+    assert second.events().count() == 6 and sorted(r.source.rsplit("/", 1)[1] for r in second.files.collect()) == ["a.json.gz", "b.json.gz"]
+
+
+def test_a_batch_that_is_there_is_left(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in/a.json")
+    run = lambda cp: ingest.store_new_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / cp)).awaitTermination()
+    run("one")
+    run("two")  # the same files under the same number
+    put(tmp_path / "in/c.json")
+    with pytest.raises(Exception, match="refusing"):
+        run("three")
 
 
 def test_windowed_load(spark, tmp_path):
@@ -185,3 +198,48 @@ def test_windowed_load(spark, tmp_path):
     q = ingest.windowed_load(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("load").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted((r.operator, r.gpu, r.n, r.total_dur) for r in spark.table("load").collect()) == [("k", True, 1, 7), ("op0", False, 2, 11)]
+
+
+def at(*times):
+    return {"distributedInfo": {"rank": 1}, "traceEvents": [{"name": "op", "ts": t, "dur": 1, "pid": 1, "tid": "main"} for t in times]}
+
+
+def test_files_of_one_rank_keep_their_times(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in/a.json", at(1000, 1001))
+    put(tmp_path / "in/b.json", at(5000, 5001))
+    s = cli.compress_dir(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    ids = [(r.template_id, r.instance_id) for r in s.instance.orderBy("source", "seq").collect()]
+    assert ids == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    cli.decompress(spark, str(tmp_path / "out"), str(tmp_path / "back.json"))
+    assert [e["ts"] for e in json.loads((tmp_path / "back.json").read_text())["traceEvents"]] == [1000, 1001, 5000, 5001]
+
+
+def test_equal_stems_are_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in/a.json")
+    put(tmp_path / "in/a.json.gz")
+    with pytest.raises(Exception, match="both be stored as a"):
+        cli.compress_dir(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_numbers_of_any_length(spark, tmp_path):
+    digits = "9" * 5000
+    raw = f'{{"traceEvents":[{{"name":"a","ts":1,"args":{{"x":{digits},"y":{2**1024 - 1},"z":{10**300}}}}},{{"name":"b","ts":{digits}}}]}}'
+    rows = read_trace(spark, put(tmp_path / "x.json", raw)).events.orderBy("seq").collect()
+    assert rows[0].args == {"x": "null", "y": "null", "z": "1e+300"} and (rows[1].name, rows[1].ts) == ("b", 0)
+
+
+def test_deep_values(spark, tmp_path):
+    fails(spark, put(tmp_path / "deep.json", '{"traceEvents":[{"args":' + "[" * 200_000 + "]" * 200_000 + "}]}"), "deep.json")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(Exception, match="checkpoint.dir"):
+        shared_dir(Elsewhere(), "x")
+    assert shared_dir(spark, "x").startswith("file:")

@@ -13,7 +13,7 @@ from .operators import encode, verify
 from .operators.analysis import TASKS
 from .sources import store, writer
 from .sources.chrome import read_trace
-from .sources.files import exists, is_file, trace_files
+from .sources.files import exists, is_file, refuse_equal_stems, trace_files
 
 
 def session() -> SparkSession:
@@ -32,9 +32,11 @@ def compress(spark: SparkSession, path: str, out: str, level: int = 3) -> store.
 
 
 def compress_dir(spark: SparkSession, path: str, out: str, level: int = 3, workers: int | None = None) -> store.StoredTrace:
-    """Stores all trace files of a folder; one that can't be read fails the whole, and nothing is left."""
-    if not trace_files(path):
+    """Stores all trace files of a folder; one that can't be read, or two of one stem, fail the whole, and nothing is left."""
+    found = trace_files(path)
+    if not found:
         raise FileNotFoundError(f"no trace files in {path}")
+    refuse_equal_stems(found)
     return store.save(read_trace(spark, path, tasks=workers), out, level)
 
 
@@ -50,8 +52,7 @@ def check(spark: SparkSession, path: str, stored: str | None = None) -> DataFram
     if stored:
         s = store.StoredTrace(spark, stored)
         return verify.report(trace.events, s.events(), (trace.metadata, s.metadata))
-    template = encode.templates(trace.events)
-    return verify.report(trace.events, encode.decode(encode.instances(trace.events, template), template), (trace.metadata, trace.metadata))
+    return verify.report(trace.events, encode.encode(trace.events).decoded, (trace.metadata, trace.metadata))
 
 
 def analyze(spark: SparkSession, path: str, task: str) -> DataFrame:

@@ -24,6 +24,18 @@ def _number(x: float) -> str:
     return text if any(c in text for c in ".e") else text + ".0"
 
 
+def _float(x: int) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return math.inf
+
+
+def whole_text(digits: str) -> int | float:
+    """A JSON integer of any length; one of hundreds of digits is a float (infinite where it is out of range)."""
+    return int(digits) if len(digits) <= 400 else float(digits)
+
+
 _encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
 #: As many digits as an integer out of range has at least.
 _long = re.compile("[0-9]{19}").search
@@ -59,7 +71,7 @@ def _walk(x: Any) -> str:
         elif v is True or v is False:
             out.append("true" if v else "false")
         elif isinstance(v, int):
-            out.append(str(v) if -(1 << 63) <= v < 1 << 64 else _number(float(v)) if abs(v) < 1 << 1024 else "null")
+            out.append(str(v) if -(1 << 63) <= v < 1 << 64 else _number(_float(v)))
         elif isinstance(v, float):
             out.append(_number(v))
         elif isinstance(v, str):
@@ -79,12 +91,20 @@ def _walk(x: Any) -> str:
 
 
 def parse(text: str) -> Any:
-    return json.loads(text)
+    """The value of a JSON text; ValueError for all that isn't one, or is nested too deeply for the parser."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        raise
+    except ValueError:  # more digits than int() takes
+        return json.loads(text, parse_int=whole_text)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
 
 
 @F.arrow_udf(StringType())
 def canonical_json(text: pa.Array) -> pa.Array:
-    """Canonical text of JSON texts; null for null and for what isn't JSON."""
+    """Canonical text of JSON texts; null for null, for what isn't JSON and for what is nested too deeply to be read."""
 
     def one(t):
         try:

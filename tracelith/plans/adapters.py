@@ -11,6 +11,10 @@ from ..functions.canonical import canonical_args
 EVENT = "rank string, pid bigint, tid string, ph string, seq bigint, name string, ts bigint, dur bigint, cat string, id bigint, bp string, s string, args map<string,string>"
 
 
+#: Items of one order that sequence numbers leave room for (17 at most in the tables).
+ITEMS = 64
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,15 +25,18 @@ def micros(c: str) -> F.Column:
 
 
 def trace_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event for each line item, named by its part; sequence numbers are the place within a rank."""
-    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    """One event for each line item, named by its part. Sequence numbers are the order's number and the place within the order, so that no rank is ordered as a whole."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
     rank = (F.col("l_suppkey") % 4).cast("string")
-    joined = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    # Numbered before anything else is computed: what follows runs in as many tasks as the shuffle has, however few the file's row groups are.
+    numbered = _table(spark, sf_dir, "lineitem").withColumn("seq", (F.col("l_orderkey") * ITEMS + place).cast("bigint"))
+    joined = numbered.join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         rank.alias("rank"), (F.col("l_suppkey") % 16).alias("pid"),
         F.when(F.col("l_linestatus") == "O", F.concat(F.lit("stream "), F.col("l_linenumber"))).otherwise(F.concat(F.lit("cpu_thread_"), F.col("l_linenumber") % 2)).alias("tid"),
         F.when(F.col("l_returnflag") == "R", "i").otherwise("X").alias("ph"),
-        (F.row_number().over(Window.partitionBy(rank).orderBy(*order)) - 1).cast("bigint").alias("seq"),
+        "seq",
         F.concat("p_type", F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit(".layers."), "l_partkey", F.lit(".op_"), "l_linenumber").alias("name"),
         micros("l_shipdate").alias("ts"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("bigint")).alias("dur"),
         F.col("p_type").alias("cat"), F.col("l_orderkey").alias("id"), F.lit(None).cast("string").alias("bp"), F.lit(None).cast("string").alias("s"),
@@ -37,10 +44,10 @@ def trace_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINEITEM_SQL = """ev AS (SELECT CAST(l_suppkey % 4 AS VARCHAR) AS rank, l_suppkey % 16 AS pid,
+LINEITEM_SQL = f"""ev AS (SELECT CAST(l_suppkey % 4 AS VARCHAR) AS rank, l_suppkey % 16 AS pid,
   CASE WHEN l_linestatus = 'O' THEN 'stream ' || l_linenumber ELSE 'cpu_thread_' || (l_linenumber % 2) END AS tid,
   CASE WHEN l_returnflag = 'R' THEN 'i' ELSE 'X' END AS ph,
-  row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS seq,
+  l_orderkey * {ITEMS} + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS seq,
   p_type || '.' || replace(p_name, ' ', '_') || '.layers.' || l_partkey || '.op_' || l_linenumber AS name,
   epoch_us(l_shipdate) AS ts, CASE WHEN l_returnflag <> 'R' THEN CAST(trunc(l_extendedprice) AS BIGINT) END AS dur,
   p_type AS cat, l_orderkey AS id, CAST(NULL AS VARCHAR) AS bp, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS args

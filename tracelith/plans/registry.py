@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.canonical import canonical_json
 from ..operators import analysis, encode, encodings, segments, verify
-from ..sources import synthetic, writer
+from ..sources import store, synthetic, writer
 from ..sources.chrome import header_check, read_trace
-from ..sources.files import file_system, shared_dir
+from ..sources.files import file_system, shared_dir, stem_column
 from .adapters import EVENTS_SQL, LINEITEM_SQL, trace_from_events, trace_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ ins AS (SELECT tr.*, tp.template_id, row_number() OVER (PARTITION BY tp.template
   AND tr.cat IS NOT DISTINCT FROM tp.cat AND tr.bp IS NOT DISTINCT FROM tp.bp AND tr.s IS NOT DISTINCT FROM tp.s AND tr.has_dur = tp.has_dur AND tr.has_id = tp.has_id AND tr.arg_keys = tp.arg_keys)"""
 _OTHER = """,
 mu AS (SELECT rank, pid, tid, ph, seq, name, ts, CASE WHEN seq % 89 = 0 THEN dur + 1 ELSE dur END AS dur, cat, id, bp, s FROM ev WHERE seq % 97 <> 0 AND NOT (rank = '3' AND pid = 3)
-  UNION ALL SELECT '9', pid, tid, ph, seq, name, ts, dur, cat, id, bp, s FROM ev WHERE seq < 5),
+  UNION ALL SELECT '9', pid, tid, ph, seq, name, ts, dur, cat, id, bp, s FROM ev WHERE id < 3),
 fo AS (SELECT rank, pid, tid, ph, {fp} AS fp, count(*) AS n FROM ev GROUP BY ALL), fr AS (SELECT rank, pid, tid, ph, {fp} AS fp, count(*) AS n FROM mu GROUP BY ALL),
 so AS (SELECT rank, pid, tid, ph, count(*) AS n FROM ev GROUP BY ALL), sr AS (SELECT rank, pid, tid, ph, count(*) AS n FROM mu GROUP BY ALL)"""
 _FP = "concat_ws(chr(1), name, ts, coalesce(CAST(dur AS VARCHAR), ''), ph, pid, tid, coalesce(cat, ''), coalesce(CAST(id AS VARCHAR), ''), coalesce(bp, ''), coalesce(s, ''), {args})"
@@ -70,9 +70,22 @@ def operator_hotspot(spark, sf_dir):
     return analysis.operator_hotspot(trace_from_lineitem(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the line items' stored trace, encoded once a session: in situ means to answer from what is stored."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        folder = shared_dir(spark, "stored")
+        store.write_tables(trace_from_lineitem(spark, sf_dir), folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
 @query(_SQL["operator_hotspot"])
 def operator_hotspot_insitu(spark, sf_dir):
-    return analysis.operator_hotspot_insitu(encode.templates(trace_from_lineitem(spark, sf_dir)))
+    return analysis.operator_hotspot_insitu(spark.read.parquet(f"{stored(spark, sf_dir)}/template"))
 
 
 _BALANCE = "SELECT pid || ':' || tid AS stream, CAST(sum(coalesce(dur, 0)) AS BIGINT) AS busy FROM ev WHERE contains(tid, 'stream') GROUP BY pid, tid"
@@ -85,7 +98,7 @@ def stream_load_balance(spark, sf_dir):
 
 @query(f"{LINEITEM} {_BALANCE}")
 def stream_load_balance_insitu(spark, sf_dir):
-    return analysis.stream_load_balance_insitu(encode.load(trace_from_lineitem(spark, sf_dir)))
+    return analysis.stream_load_balance_insitu(spark.read.parquet(f"{stored(spark, sf_dir)}/load"))
 
 
 @query(f"{EVENTS} {_BALANCE}")
@@ -127,7 +140,7 @@ def ts_restore(spark, sf_dir):
 def source_stem(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_id") % 3 == 0, ".json").when(F.col("event_id") % 3 == 1, ".v2.json.gz").otherwise(".json.old")
-    return e.select("event_id", F.regexp_replace(F.concat(F.lit("rank-"), "event_id", kind), r"\.json(\.gz)?$", "").alias("stem"))
+    return e.select("event_id", stem_column(F.concat(F.lit("s3://bucket/day/rank-"), "event_id", kind)).alias("stem"))
 
 
 # Scalars
@@ -242,8 +255,7 @@ def template_stats(spark, sf_dir):
 
 @query(f"{LINEITEM}{_ENCODED} SELECT rank, seq, template_id FROM ins")
 def template_assign(spark, sf_dir):
-    events = trace_from_lineitem(spark, sf_dir)
-    return encode.assign(events, encode.templates(events)).select(*KEYS, "template_id")
+    return encode.encode(trace_from_lineitem(spark, sf_dir)).assigned.select(*KEYS, "template_id")
 
 
 @query(f"{LINEITEM}{_ENCODED} SELECT rank, seq, template_id, instance_id, array_to_string(digit_runs, ',') AS digit_runs FROM ins")
@@ -253,16 +265,13 @@ def instance_ids(spark, sf_dir):
 
 @query(f"{LINEITEM}{_ENCODED} SELECT rank, seq, name_pattern, cat, n FROM ins JOIN (SELECT template_id, n FROM tp) USING (template_id)")
 def decompress_join(spark, sf_dir):
-    events = trace_from_lineitem(spark, sf_dir)
-    template = encode.templates(events)
-    return encode.instances(events, template).join(template.select("template_id", "name_pattern", "cat", "n"), "template_id").select(*KEYS, "name_pattern", "cat", "n")
+    found = encode.encode(trace_from_lineitem(spark, sf_dir))
+    return found.instance.join(found.template.select("template_id", "name_pattern", "cat", "n"), "template_id").select(*KEYS, "name_pattern", "cat", "n")
 
 
 @query(f"{EVENTS} SELECT rank, pid, tid, ph, seq, name, ts, dur, cat, id, bp, s, args FROM ev")
 def decompress(spark, sf_dir):
-    events = trace_from_events(spark, sf_dir)
-    template = encode.templates(events)
-    return encode.decode(encode.instances(events, template), template).withColumn("args", names.args_text())
+    return encode.encode(trace_from_events(spark, sf_dir)).decoded.withColumn("args", names.args_text())
 
 
 def _numbers(column: str) -> str:
@@ -277,12 +286,22 @@ for _column, _name in (("tid", "encoding_stream_tid"), ("ph", "encoding_phase"))
 FROM ins GROUP BY template_id""", _name)(lambda spark, sf_dir, c=_column: encodings.texts(encode.instances(trace_from_lineitem(spark, sf_dir)), c))
 
 
-@query(f"""{EVENTS}{_ENCODED} SELECT template_id, split_part(args, '=', 1) AS arg_key, CASE WHEN min(args) = max(args) THEN 'ExactConstant' ELSE 'I32' END AS encoding, count(*) AS n, count(DISTINCT args) AS n_distinct
-FROM ins GROUP BY ALL""")
+#: An argument for each branch of the decision: its kind and its canonical text, as SQL that both engines read.
+_ARGUMENTS = {
+    "same": ("'int'", "'1'"), "bool": ("'bool'", "CASE WHEN seq % 2 = 0 THEN 'true' ELSE 'false' END"), "i32": ("'int'", "CAST(seq AS STRING)"), "i64": ("'int'", "CAST(seq * 4294967296 AS STRING)"),
+    "f64": ("'float'", "concat(CAST(seq AS STRING), '.5')"), "dict": ("'string'", "CASE WHEN seq % 3 = 0 THEN '\"a\"' ELSE '\"b\"' END"), "str": ("'string'", "concat('\"s', CAST(seq AS STRING), '\"')"),
+    "mixed": ("CASE WHEN seq % 2 = 0 THEN 'int' ELSE 'float' END", "CASE WHEN seq % 2 = 0 THEN CAST(seq AS STRING) ELSE concat(CAST(seq AS STRING), '.0') END"),
+}
+
+
+@query(f"""{EVENTS}{_ENCODED}, a AS ({" UNION ALL ".join(f"SELECT template_id, '{k}' AS arg_key, {kind} AS vk, {value} AS value FROM ins" for k, (kind, value) in _ARGUMENTS.items())})
+SELECT template_id, arg_key, CASE WHEN min(value) = max(value) THEN 'ExactConstant' WHEN min(vk) <> max(vk) THEN 'Exact' WHEN max(vk) = 'bool' THEN 'Bool'
+  WHEN max(vk) = 'int' THEN CASE WHEN min(try_cast(value AS BIGINT)) >= -2147483648 AND max(try_cast(value AS BIGINT)) <= 2147483647 THEN 'I32' ELSE 'I64' END WHEN max(vk) = 'float' THEN 'F64'
+  WHEN count(DISTINCT value) * 2 <= count(*) THEN 'StrDict' ELSE 'Str' END AS encoding, count(*) AS n, count(DISTINCT value) AS n_distinct FROM a GROUP BY ALL""")
 def encoding_args(spark, sf_dir):
-    events = trace_from_events(spark, sf_dir)
-    template = encode.templates(events)
-    return encodings.arguments(encode.instances(events, template), template)
+    args = F.expr(f"map({', '.join(f"'{k}', {value}" for k, (_, value) in _ARGUMENTS.items())})")
+    found = encode.encode(trace_from_events(spark, sf_dir).withColumn("args", args))
+    return encodings.arguments(found.instance, found.template)
 
 
 @query(f"""{LINEITEM}{_ENCODED}, r AS (SELECT template_id, CAST(generate_subscripts(digit_runs, 1) - 1 AS INTEGER) AS slot, unnest(digit_runs) AS run FROM ins),
@@ -297,17 +316,17 @@ def encoding_digits(spark, sf_dir):
 @query(f"""{EVENTS}{_ENCODED}, v AS (SELECT template_id, split_part(args, '=', 1) AS arg_key, rtrim(split_part(args, '=', 2), ';') AS value, min(instance_id) AS f FROM ins GROUP BY ALL)
 SELECT template_id, arg_key, value, dense_rank() OVER (PARTITION BY template_id, arg_key ORDER BY f) - 1 AS value_id FROM v""")
 def string_dictionary(spark, sf_dir):
-    events = trace_from_events(spark, sf_dir)
-    template = encode.templates(events)
-    return encodings.dictionary(encode.instances(events, template), template)
+    found = encode.encode(trace_from_events(spark, sf_dir))
+    return encodings.dictionary(found.instance, found.template)
 
 
 @query(f"""{LINEITEM}{_ENCODED} SELECT count(*) AS templates, CAST(sum(n) AS BIGINT) AS instances, (SELECT count(DISTINCT rank) FROM ev) AS ranks FROM tp""")
 def inspect(spark, sf_dir):
-    streams = encode.by_stream(trace_from_lineitem(spark, sf_dir))
-    # by_stream has a row for each signature and stream, so the dictionary and the ranks come from one small table
-    signatures = streams.groupBy(*names.SIGNATURE).agg(F.sum("n").alias("n"), F.collect_set("rank").alias("ranks"))
-    return signatures.agg(F.count("*").alias("templates"), F.sum("n").alias("instances"), F.size(F.array_distinct(F.flatten(F.collect_set("ranks")))).cast("bigint").alias("ranks"))
+    totals = encode.encode(trace_from_lineitem(spark, sf_dir)).totals
+    none = F.lit(0).cast("bigint")
+    signatures = totals.groupBy("sig").agg(F.sum("n").alias("n")).agg(F.count("*").alias("templates"), F.sum("n").alias("instances"), none.alias("ranks"))
+    ranks = totals.select("rank").distinct().agg(none.alias("templates"), none.alias("instances"), F.count("*").alias("ranks"))
+    return signatures.union(ranks).agg(*(F.sum(c).alias(c) for c in ("templates", "instances", "ranks")))
 
 
 # Linear segments: the dates of each part's line items, in order of line items
@@ -352,7 +371,7 @@ def slp_value_at(spark, sf_dir):
 def _mutated(events: DataFrame) -> DataFrame:
     """A trace with events missing and changed, one process missing and a rank too many."""
     kept = events.where("seq % 97 <> 0 and not (rank = '3' and pid = 3)").withColumn("dur", F.when(F.col("seq") % 89 == 0, F.col("dur") + 1).otherwise(F.col("dur")))
-    return kept.union(events.where("seq < 5").withColumn("rank", F.lit("9")))
+    return kept.union(events.where("id < 3").withColumn("rank", F.lit("9")))
 
 
 _OTHERS = LINEITEM + _OTHER.format(fp=f"sha256({_FP.format(args="''")})")
@@ -398,37 +417,38 @@ def verify_report_mutated(spark, sf_dir):
   CAST(0 AS BIGINT) AS extra_streams, CAST(0 AS BIGINT) AS stream_count_diffs, CAST(0 AS BIGINT) AS metadata_mismatches, true AS ok FROM ev""")
 def verify_report(spark, sf_dir):
     events = trace_from_lineitem(spark, sf_dir)
-    template = encode.templates(events)
-    return verify.report(events, encode.decode(encode.instances(events, template), template))
+    return verify.report(events, encode.encode(events).decoded)
 
 
-@query(f"{EVENTS} SELECT CAST(0 AS BIGINT) AS differing FROM ev LIMIT 1")
-def verify_multiset(spark, sf_dir):
-    events = trace_from_events(spark, sf_dir)
-    template = encode.templates(events)
-    flat = lambda e: e.withColumn("args", names.args_text()).select("rank", "pid", "tid", "ph", "name", "ts", "dur", "cat", "id", "bp", "s", "args")
-    a, b = flat(events), flat(encode.decode(encode.instances(events, template), template))
-    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("differing"))
+_FLAT = ("rank", "pid", "tid", "ph", "name", "ts", "dur", "cat", "id", "bp", "s")
 
 
-_METADATA_SQL = "SELECT rank, seq, name, pid, tid FROM ev WHERE id % 10 = 0"
+@query(f"""{_OTHERS}, a AS (SELECT {', '.join(_FLAT)} FROM ev), b AS (SELECT {', '.join(_FLAT)} FROM mu)
+SELECT count(*) AS differing FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))""")
+def verify_multiset(spark, sf_dir):
+    """The line items against their encoded, restored and then changed trace, as multisets."""
+    events = trace_from_lineitem(spark, sf_dir)
+    a, b = events.select(*_FLAT), _mutated(encode.encode(events).decoded.select(events.columns)).select(*_FLAT)
+    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("differing"))
 
 
-def _raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth order's line items as metadata records."""
-    raw = trace_from_lineitem(spark, sf_dir).withColumn("ph", F.when(F.col("id") % 10 == 0, "M").otherwise(F.col("ph")))
-    return raw.where("ph = 'M'").select("rank", "seq", "name", "pid", "tid", F.lit(None).cast("string").alias("args"))
+_METADATA = ("rank", "seq", "name", "pid", "tid")
 
 
-@query(f"{LINEITEM} {_METADATA_SQL}")
+@query(f"{LINEITEM} SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY seq) - 1 AS seq, name, pid, tid FROM ev WHERE ph = 'i'")
 def metadata_events(spark, sf_dir):
-    return _raw_metadata(spark, sf_dir).drop("args")
+    """Returned items as metadata records: written among all others, told apart by the reader, which numbers a file's elements."""
+    raw, folder = trace_from_lineitem(spark, sf_dir), shared_dir(spark, "metadata")
+    records = raw.where("ph = 'i'").select(*_METADATA, F.lit(None).cast("string").alias("args"))
+    writer.write_ranks(raw.where("ph <> 'i'"), folder, records).write.format("noop").mode("overwrite").save()
+    return read_trace(spark, folder).metadata.select(*_METADATA)
 
 
-@query(f"{LINEITEM}, m AS ({_METADATA_SQL}) SELECT DISTINCT rank FROM m WHERE rank IN ('1', '2')")
+@query(f"""{LINEITEM}, m AS (SELECT rank, seq, name, pid, tid FROM ev), c AS (SELECT rank, seq, CASE WHEN rank = '1' AND ts % 7 = 0 THEN name || '!' ELSE name END AS name, pid, tid FROM ev WHERE NOT (rank = '2' AND pid = 2))
+SELECT DISTINCT rank FROM ((SELECT * FROM m EXCEPT ALL SELECT * FROM c) UNION ALL (SELECT * FROM c EXCEPT ALL SELECT * FROM m))""")
 def verify_metadata(spark, sf_dir):
-    m = _raw_metadata(spark, sf_dir)
-    changed = m.withColumn("name", F.when(F.col("rank") == "1", F.concat("name", F.lit("!"))).otherwise(F.col("name"))).where("not (rank = '2' and seq % 7 = 0)")
+    m = trace_from_lineitem(spark, sf_dir).select(*_METADATA, F.lit(None).cast("string").alias("args"), "ts")
+    changed = m.withColumn("name", F.when((F.col("rank") == "1") & (F.col("ts") % 7 == 0), F.concat("name", F.lit("!"))).otherwise(F.col("name"))).where("not (rank = '2' and pid = 2)")
     return verify.metadata_mismatches(m, changed)
 
 
@@ -457,9 +477,10 @@ def scan_dir(spark, sf_dir):
     return read_trace(spark, _written(spark, sf_dir, True)).events.select(*_SCANNED, names.args_text().alias("args"))
 
 
-@query(f"{_SCAN_SQL} QUALIFY rank = '2'")
+@query(f"{EVENTS} SELECT '0' AS rank, pid, tid, ph, name, ts - min(ts) OVER () AS ts, dur, args FROM ev")
 def scan_events(spark, sf_dir):
-    events = trace_from_events(spark, sf_dir).where("rank = '2'")
+    """The whole table as one rank's file."""
+    events = trace_from_events(spark, sf_dir).withColumn("rank", F.lit("0"))
     folder = shared_dir(spark, "trace")
     path = writer.write_ranks(events, folder).collect()[0].path
     return read_trace(spark, path).events.select(*_SCANNED, names.args_text().alias("args"))
@@ -473,29 +494,51 @@ def manifest(spark, sf_dir):
     return entries(trace, trace.events).select("rank", "events")
 
 
-@query()
+#: The generator as SQL: steps of each rank in order of time, draws of splitmix64 by their number (128-bit products, cut to 64 bits).
+_CUT = "18446744073709551616::UHUGEINT"
+_SYNTHETIC = f"""WITH s AS (SELECT rank, it, 0 AS back, layer AS a, op AS b, layer, op FROM range(4) r(rank), range(2) i(it), range(4) l(layer), range(7) o(op)
+  UNION ALL SELECT rank, it, 1, 3 - layer, 5 - op, layer, op FROM range(4) r(rank), range(2) i(it), range(4) l(layer), range(6) o(op)),
+d AS (SELECT *, op = 6 AS all_of, ((((rank * 2 + it) * 2 + back) * 4 + a) * 6 + b + 1)::UHUGEINT AS k FROM s),
+z0 AS (SELECT *, ({synthetic.Spec().seed}::UHUGEINT + k * 11400714819323198485::UHUGEINT) % {_CUT} AS z FROM d),
+z1 AS (SELECT * REPLACE ((xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_CUT} AS z) FROM z0),
+z2 AS (SELECT * REPLACE ((xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_CUT} AS z) FROM z1),
+e AS (SELECT *, CASE WHEN all_of THEN 20 ELSE 50 + CAST(xor(z, z >> 31) % 8 AS BIGINT) END AS dur FROM z2),
+t AS (SELECT *, CAST(coalesce(sum(CASE WHEN all_of THEN 25 ELSE dur + 1 END) OVER (PARTITION BY rank ORDER BY it, back, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS now, (it * 4 + layer) * 6 + op + 1 AS correlation FROM e),
+u AS (SELECT rank, it, back, a, b, 0 AS lane, 'cpu_thread' AS tid, 'layers.' || layer || '.attn.op_' || op || CASE back WHEN 1 THEN '.backward' ELSE '' END AS name, now AS ts, dur, 'cpu_op' AS cat, CASE back WHEN 0 THEN 'correlation=' || correlation || ';' ELSE '' END AS args FROM t WHERE NOT all_of
+  UNION ALL SELECT rank, it, back, a, b, 1, 'stream 7', 'kernel_' || op, now + 1, dur - 2, 'kernel', 'correlation=' || correlation || ';' FROM t WHERE back = 0 AND NOT all_of
+  UNION ALL SELECT rank, it, back, a, b, 2, 'stream 12', 'nccl:all_reduce', now, dur, 'kernel', 'Process Group Name="tp_group";' FROM t WHERE all_of)
+SELECT CAST(rank AS VARCHAR) AS rank, 100 + rank AS pid, tid, 'X' AS ph, row_number() OVER (PARTITION BY rank ORDER BY lane, it, back, a, b) - 1 AS seq, name, ts, dur, cat,
+  CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS bp, CAST(NULL AS VARCHAR) AS s, args FROM u"""
+
+
+@query(_SYNTHETIC)
 def synthetic_trace(spark, sf_dir):
     return synthetic.generate(spark).withColumn("args", names.args_text())
 
 
-@query("SELECT * FROM (VALUES ('layers.0.attn.op_0', CAST(10276 AS BIGINT)), ('layers.0.attn.op_0.backward', CAST(10264 AS BIGINT))) AS t(operator, total_dur)")
+@query(f"SELECT regexp_replace(name, '[0-9]+', '0', 'g') AS operator, CAST(sum(dur) AS BIGINT) AS total_dur FROM ({_SYNTHETIC}) WHERE tid = 'cpu_thread' GROUP BY 1")
 def synthetic_hotspot(spark, sf_dir):
     return analysis.operator_hotspot(synthetic.generate(spark))
 
 
-@query("""SELECT pid || ':stream ' || lane AS stream, CAST(busy AS BIGINT) AS busy
-FROM (VALUES (100, 7, 2445), (101, 7, 2495), (102, 7, 2469), (103, 7, 2483), (100, 12, 160), (101, 12, 160), (102, 12, 160), (103, 12, 160)) AS t(pid, lane, busy)""")
+@query(f"SELECT pid || ':' || tid AS stream, CAST(sum(dur) AS BIGINT) AS busy FROM ({_SYNTHETIC}) WHERE tid <> 'cpu_thread' GROUP BY pid, tid")
 def synthetic_balance(spark, sf_dir):
     return analysis.stream_load_balance(synthetic.generate(spark))
 
 
-@query("SELECT * FROM (VALUES ('good', true, 2, NULL), ('version', false, 3, 'version'), ('zeros', false, 0, 'magic'), ('flags', false, 1, 'reserved')) AS t(name, ok, version, problem)")
+#: A header for each line item of a part: version, codec and flag bytes from its columns, so that the SQL decides by rule.
+_HEADER_SQL = """WITH h AS (SELECT DISTINCT l_linenumber AS version, l_suppkey % 3 AS codec, l_partkey % 2 AS flag, l_returnflag AS magic FROM lineitem)
+SELECT concat(magic, version, codec, flag) AS name, CAST(version AS INTEGER) AS version, CASE WHEN magic = 'A' THEN 'magic' WHEN version > 2 THEN 'version' WHEN codec <> 1 THEN 'codec' WHEN flag <> 0 THEN 'reserved' END AS problem,
+  magic <> 'A' AND version <= 2 AND codec = 1 AND flag = 0 AS ok FROM h"""
+
+
+@query(_HEADER_SQL)
 def header_checks(spark, sf_dir):
     folder, magic = shared_dir(spark, "headers"), b"TRACELTH"
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
-    for name, head in (("good", magic + b"\x02\0\1\0\0\0\0\0"), ("version", magic + b"\x03\0\1\0\0\0\0\0"), ("zeros", bytes(16)), ("flags", magic + b"\x01\0\1\1\0\0\0\0")):
-        with fs.open_output_stream(f"{base}/{name}") as out:
-            out.write(head)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_linenumber as version", "l_suppkey % 3 as codec", "l_partkey % 2 as flag", "l_returnflag as magic").distinct()
+    for r in rows.collect():  # 7 line numbers by 3 by 2 by 3 flags at most
+        with fs.open_output_stream(f"{base}/{r.magic}{r.version}{r.codec}{r.flag}") as out:
+            out.write((bytes(8) if r.magic == "A" else magic) + bytes([r.version, 0, r.codec, 0, 0, 0, 0, r.flag]))
     return header_check(spark, folder, magic).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "ok", "version", "problem")
-

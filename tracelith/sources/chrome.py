@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ParseError
-from ..functions.canonical import canonical
+from ..functions.canonical import canonical, whole_text
 from .files import file_system, stem, trace_files
 
 ROW = "row string, source string, rank string, seq bigint, pid bigint, tid string, ph string, name string, ts bigint, dur bigint, cat string, id bigint, bp string, s string, args map<string,string>, metadata_args string, input_bytes bigint"
@@ -86,6 +86,8 @@ def _refuse(x: str):
 class Stream:
     """Decodes one JSON value at a time from a byte stream."""
 
+    any_length = json.JSONDecoder(parse_constant=_refuse, parse_int=whole_text)
+
     space, comma = re.compile(r"[ \t\n\r]*"), re.compile(r"[ \t\n\r]*,[ \t\n\r]*")
 
     def __init__(self, source):
@@ -122,8 +124,10 @@ class Stream:
                 if end < len(self.held) or not self.more():
                     self.at = end
                     return out
-            except (json.JSONDecodeError, RecursionError) as e:
-                if isinstance(e, RecursionError) or not self.more():
+            except (ValueError, RecursionError) as e:
+                if type(e) is ValueError and self.json is not self.any_length:
+                    self.json = self.any_length  # a number of more digits than int() takes
+                elif not isinstance(e, json.JSONDecodeError) or not self.more():
                     raise ParseError(str(e)) from e
 
     def followed(self) -> Iterator[Any]:
@@ -133,7 +137,7 @@ class Stream:
         while True:
             try:
                 out, end = decode(self.held, self.at)
-            except (StopIteration, json.JSONDecodeError, RecursionError):
+            except (StopIteration, ValueError, RecursionError):
                 return  # cut off, or broken: value() tells
             if not (m := comma(self.held, end)):
                 return
@@ -259,7 +263,8 @@ class Trace:
 
     @property
     def starts(self) -> DataFrame:
-        return self.files.groupBy("rank").agg(F.min("start_ts").alias("start_ts"))
+        """One row for each file: files that share a rank keep times of their own."""
+        return self.files.select("source", "rank", "start_ts")
 
     def parsed(self, folder: str) -> Trace:
         """The same from rows written down, so that files are parsed once."""

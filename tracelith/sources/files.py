@@ -6,7 +6,10 @@ import re
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import InvalidTrace
 
 SUFFIXES = (".json", ".json.gz")
 
@@ -38,14 +41,33 @@ def trace_files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{x}" for x in sorted(f.base_name for f in found if f.type == pafs.FileType.File and f.base_name.endswith(SUFFIXES))]
 
 
+#: What a trace file's name ends with, beyond its stem.
+_ENDING = r"\.json(\.gz)?$"
+
+
 def stem(path: str) -> str:
-    return re.sub(r"\.json(\.gz)?$", "", path.rstrip("/").rpartition("/")[2])
+    return re.sub(_ENDING, "", path.rstrip("/").rpartition("/")[2])
+
+
+def stem_column(path: Column) -> Column:
+    """``stem`` of a column of paths."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), _ENDING, "")
+
+
+def refuse_equal_stems(paths: list[str]) -> None:
+    """Files whose names differ in their ending only would be one artifact."""
+    seen: dict[str, str] = {}
+    for p in paths:
+        if (other := seen.setdefault(stem(p), p)) != p:
+            raise InvalidTrace(f"{other} and {p} would both be stored as {stem(p)}")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; where none is set, as in tests, one of our own."""
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``). Only a local session, as in tests, may do without one: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidTrace("spark.checkpoint.dir isn't set: on a cluster it must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="tracelith-")
@@ -53,6 +75,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet to a new folder and reads it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidStore
 from ..operators import encode
 from .chrome import Trace
-from .files import hadoop, publish, remove
+from .files import hadoop, publish, remove, stem_column
 
 VERSION = 1
 TABLES = ("template", "instance", "load", "metadata", "files")
@@ -38,7 +38,8 @@ class StoredTrace:
 
     @property
     def starts(self) -> DataFrame:
-        return self.files.groupBy("rank").agg(F.min("start_ts").alias("start_ts"))
+        """One row for each file: files that share a rank keep times of their own."""
+        return self.files.select("source", "rank", "start_ts")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
@@ -62,7 +63,16 @@ def entries(trace: Trace, events: DataFrame) -> DataFrame:
     """Per file: source, artifact, rank, events, input bytes."""
     n = events.groupBy("source").agg(F.count("*").alias("events"))
     name = F.regexp_extract("source", r"([^/]+)$", 1)
-    return trace.files.join(n, "source", "left").select(name.alias("source"), F.regexp_replace(name, r"\.json(\.gz)?$", "").alias("artifact"), "rank", F.coalesce("events", F.lit(0)).alias("events"), "input_bytes").orderBy("source")
+    return trace.files.join(n, "source", "left").select(name.alias("source"), stem_column(F.col("source")).alias("artifact"), "rank", F.coalesce("events", F.lit(0)).alias("events"), "input_bytes").orderBy("source")
+
+
+def write_tables(events: DataFrame, folder: str, options: dict[str, str] | None = None) -> None:
+    """``template``, ``instance`` and ``load`` of ``events`` under ``folder``. The totals behind all three are made once."""
+    found = encode.encode(events, f"{folder}/_encoded")
+    found.template.write.options(**(options or {})).partitionBy("kind").parquet(f"{folder}/template")
+    found.instance.write.options(**(options or {})).partitionBy("kind").parquet(f"{folder}/instance")
+    found.load.write.options(**(options or {})).parquet(f"{folder}/load")
+    remove(events.sparkSession, f"{folder}/_encoded")
 
 
 def save(trace: Trace, path: str, codec_level: int = 3, check: Callable[[StoredTrace], None] | None = None) -> StoredTrace:
@@ -77,10 +87,7 @@ def save(trace: Trace, path: str, codec_level: int = 3, check: Callable[[StoredT
         remove(spark, staging)  # what a killed run may have left
         trace = trace.parsed(f"{staging}/_rows")
         events = trace.events
-        encode.templates(events).write.options(**options).partitionBy("kind").parquet(f"{staging}/template")
-        template = spark.read.parquet(f"{staging}/template")
-        encode.instances(events, template).write.options(**options).partitionBy("kind").parquet(f"{staging}/instance")
-        encode.load(events, template).write.options(**options).parquet(f"{staging}/load")
+        write_tables(events, staging, options)
         trace.metadata.write.options(**options).parquet(f"{staging}/metadata")
         trace.files.write.options(**options).parquet(f"{staging}/files")
         listed = [r.asDict() for r in entries(trace, events).toLocalIterator()]  # a row for each input file

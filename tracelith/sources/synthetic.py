@@ -12,6 +12,9 @@ from ..plans.adapters import EVENT
 _MASK = (1 << 64) - 1
 
 
+# The defaults, the generator's constants, lanes, names, gaps and the order of draws give the known totals of such traces.
+
+
 @dataclass(frozen=True)
 class Spec:
     gpus: int = 4

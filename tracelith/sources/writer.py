@@ -32,8 +32,9 @@ def metadata_json() -> F.Column:
 
 
 def _lines(events: DataFrame, metadata: DataFrame | None) -> DataFrame:
-    lines = events.select("rank", F.lit(1).alias("part"), "seq", event_json().alias("line"))
-    return lines if metadata is None else lines.union(metadata.select("rank", F.lit(0), "seq", metadata_json()))
+    source = lambda df: (F.col("source") if "source" in df.columns else F.lit("")).alias("source")
+    lines = events.select("rank", F.lit(1).alias("part"), source(events), "seq", event_json().alias("line"))
+    return lines if metadata is None else lines.union(metadata.select("rank", F.lit(0), source(metadata), "seq", metadata_json()))
 
 
 def write_ranks(events: DataFrame, folder: str, metadata: DataFrame | None = None, compress: bool = False) -> DataFrame:
@@ -41,7 +42,7 @@ def write_ranks(events: DataFrame, folder: str, metadata: DataFrame | None = Non
 
     Each attempt of a task writes under a name of its own; the names returned are those of finished attempts.
     """
-    ordered = _lines(events, metadata).repartition("rank").sortWithinPartitions("rank", "part", "seq")
+    ordered = _lines(events, metadata).repartition("rank").sortWithinPartitions("rank", "part", "source", "seq")
     arrow = pa.schema([("rank", pa.string()), ("path", pa.string()), ("n_rows", pa.int64())])
 
     def run(batches):
@@ -76,7 +77,7 @@ def write_ranks(events: DataFrame, folder: str, metadata: DataFrame | None = Non
 
 
 def write_json(events: DataFrame, path: str, metadata: DataFrame | None = None) -> None:
-    """Writes the one rank of ``events`` to ``path``, which must be new."""
+    """Writes the one rank of ``events`` (times as recorded) to ``path``, which must be new. Files that share the rank follow one another."""
     spark = events.sparkSession
     if is_file(path):
         raise FileExistsError(f"refusing to overwrite {path}")
