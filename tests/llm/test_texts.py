@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -130,6 +131,13 @@ def test_wrapped_against_brute_force():
         assert dict(found) == want
 
 
+def test_many_places_in_one_text(spark):
+    n = 200_000
+    at = time.perf_counter()
+    r = licenses.scan(spark.createDataFrame([(1, "x mit license " * n)], "doc_id long, text string"), wrapped=True).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (3 * n, n, 1, 3 * n - 2) and time.perf_counter() - at < 60
+
+
 def test_templates_are_bounded(none):
     with pytest.raises(ValueError):
         licenses.scan(none, templates={"x": "y " * licenses.MAX_TEMPLATE_BYTES})

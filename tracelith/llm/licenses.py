@@ -11,7 +11,8 @@ the exact count. All blocks that meet a template are found; the filters lose non
 meet a template, and the least runs of lines that hold such words in sequence and no line that meets the template alone.
 
 Null texts count as empty; empty texts give zero words and no labels; rows are kept one for one, also repeated ones and
-those whose doc_id is null; other columns of the input are ignored.
+those whose doc_id is null; tables without rows give no rows. Texts are read whole, in time linear in their length and their phrases'
+places. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -172,11 +173,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             if any(all(w in there for w in ws) for _, ws, _ in base):
                 joined = b" " + b" ".join(words) + b" "
                 for label, ws, p in base:
-                    at = joined.find(p)
+                    at, last, n = joined.find(p), 0, 0
                     while at >= 0:
-                        places.append(joined.count(b" ", 0, at))
+                        n += joined.count(b" ", last, at)  # words before, counted on from the place before
+                        places.append(n)
                         kinds.add(label)
-                        at = joined.find(p, at + 1)
+                        at, last = joined.find(p, at + 1), at
             more, best, blocks = set(), 1.0 if places else 0.0, 0
             if not index.keys.isdisjoint(there):
                 lines = [line.split() for line in flat.split(b"\n")]
