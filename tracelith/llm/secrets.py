@@ -1,18 +1,22 @@
 """Secret scans: base patterns, and a character convolutional network in numpy over every candidate with its context.
 
-Base spans come from three patterns and always stay. Further candidates are runs of token characters that hold a digit and
-a letter, or what base spans leave of such a run, if it is still one; the network reads each candidate and the text around it (of a long one, overlapping views of the whole; the greatest score counts), and those at or above its
+Base spans come from three patterns and always stay. Further candidates hold a digit and a letter: runs of ``LEAST`` token characters or more,
+or what base spans leave of such a run, if it is still one; and shorter values (``SHORT``) that are quoted or stand behind a colon or
+an equals sign. The network reads each candidate and the text around it (of a long one, overlapping views of the whole; the greatest score counts), and those at or above its
 threshold become spans of kind ``model``. It also scores the base spans (``confidence`` is the greatest of all scores).
 The network is trained on labelled findings written by ``findings`` (secrets of several forms, and things that look like
-them: identifiers, paths, numbers, placeholders, repeated characters) from a fixed seed. A held-out part of them calibrates
-the scores (Platt) and sets the threshold: the greatest at which recall is still ``RECALL``.
+them: identifiers, paths, numbers, placeholders, repeated characters) from a fixed seed. They are split in three: one part is fitted,
+one calibrates the scores (Platt), one sets the thresholds: for runs and for short values, the greatest at which recall is still
+``RECALL`` among the secrets that no base pattern finds, since these are what the network decides.
 
 Places are code points, ends exclusive. Null texts count as empty and give no spans; rows are kept one for one, also repeated
-ones and null ids; texts are scanned whole; other columns are ignored.
+ones and null ids; tables without rows give none; texts are scanned whole. ``scan`` ignores other columns, whatever their names; ``redact``
+keeps them as they are (but for n_chars).
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -35,6 +39,8 @@ BASE = (
 KINDS = (*(k for k, *_ in BASE), "model")
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Quoted or assigned values shorter than that.
+SHORT = rf"""(?:[:=]\x20?["']?|["'])([A-Za-z0-9+_.@!#$%&^*~-]{{8,{LEAST - 1}}})(?![A-Za-z0-9+/_=-])"""
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, confidence double"
 REDACTED = "[REDACTED]"
 #: What the network reads: characters before, the candidate's first and last ones, characters after.
@@ -43,7 +49,7 @@ WIDE, DIM, WIDTH, FILTERS, CLASSES = BEFORE + HEAD + TAIL + AFTER, 8, 5, 24, 260
 #: Characters between the views of a longer candidate; views that are held at once.
 SLIDE, HELD = 16, 8192
 _PART = re.compile(rf"[A-Za-z0-9+_-]{{{LEAST},}}")
-FINDINGS, EPOCHS, SEED, RECALL = 3000, 6, 5, 0.97
+FINDINGS, EPOCHS, SEED, RECALL = 6000, 6, 5, 0.99
 
 
 def matchers() -> list:
@@ -83,6 +89,18 @@ def candidates(text: str, rule: re.Pattern, taken: list[tuple[int, int, int]]) -
     return out
 
 
+def short_candidates(text: str, rule: re.Pattern, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Short values apart from all of ``taken`` (by start)."""
+    out, starts, most = [], [a for a, _ in taken], 0
+    ends = [most := max(most, b) for _, b in taken]
+    for m in rule.finditer(text):
+        a, b = m.span(1)
+        k = bisect.bisect_left(starts, b)
+        if (not k or ends[k - 1] <= a) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+            out.append((a, b))
+    return out
+
+
 def view(text: str, a: int, b: int) -> list[int]:
     """Character classes of a candidate and its context: 0 nothing, then ASCII and other, those inside the candidate apart."""
     code = lambda s, inside: [1 + inside * 129 + min(ord(c), 128) for c in s]
@@ -103,8 +121,8 @@ def views(text: str, a: int, b: int) -> Iterator[list[int]]:
                 yield view(text, *m.span())
 
 
-def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[list[list[int]], list[int]]:
-    """Labelled findings: views of candidates in invented prose, 1 for secrets."""
+def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[list[list[int]], list[int], list[str]]:
+    """Labelled findings: views of candidates in invented prose, 1 for secrets, and who finds such a one: base patterns, the network as a run, or as a short value."""
     r = random.Random(seed)
     low, mixed, hexa = string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef"
     pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
@@ -129,13 +147,35 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[list[list[int]], list
         lambda: f"{r.choice(['password', 'token'])}={r.choice(['changeme', 'placeholder', 'your_password_here', 'example'])}_{word()}1",
         lambda: word().title() + word().title() + word().title() + word().title() + f"V{r.randint(1, 9)}",
     ]
-    rows, labels = [], []
+    names, plain = ["pwd", "pass", "auth", "credential", "PRIVATE_KEY", "access-key", "passphrase", "db_pass", "login"], ["version", "id", "width", "color", "file", "time", "ref", "isbn", "date", "chapter", "level", "see"]
+    leet = str.maketrans("aeio", "4310")
+    chosen = lambda: (word().title() if r.random() < 0.5 else word().translate(leet).title()) + r.choice(["", "!", "@", "#", "_", "&"]) + str(r.randint(1, 9999)) + r.choice(["", "!", "$", "x"])
+    short = [lambda: (r.choice(names), chosen()), lambda: (r.choice(names), "".join(r.sample(pick(mixed, r.randint(6, 14)) + pick(string.digits, 2) + pick("!#$%&@_-", r.randint(0, 3)), 8)) + pick(mixed, r.randint(0, 10)))]
+    short_others = [
+        lambda: (r.choice(plain), f"{word()}{r.choice(['', '_', '-', '.'])}{r.randint(1, 2030)}"), lambda: (r.choice(plain), f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}"),
+        lambda: (r.choice(plain), f"v{r.randint(1, 20)}.{r.randint(0, 30)}.{r.randint(0, 99)}-{r.choice(['beta', 'rc', 'dev'])}{r.randint(1, 9)}"), lambda: (r.choice(plain), f"{word()}@{word()}{r.randint(1, 9)}.com"),
+        lambda: (r.choice(names), r.choice(["changeme1", "example1", "your_pass1", "xxxxxxxx1", "password1"])), lambda: (r.choice(plain), f"{r.randint(10, 9999)}{r.choice(['px', 'kg', 'th', 'mm', 'EUR'])}{r.randint(1000, 99999)}"),
+    ]
+    rows, labels, forms = [], [], []
     for i in range(n):
-        x = r.choice(secrets if i % 2 else others)()
+        if i % 3 == 0:
+            while True:
+                name, x = r.choice(short if i % 2 else short_others)()
+                if 8 <= len(x) < LEAST and any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
+                    break
+            quote = r.choice(["", '"', "'"])
+            before, after = " ".join(word() for _ in range(4)) + r.choice([" ", "\n"]) + name + r.choice(["=", ": ", ":", " = "]) + quote, quote + r.choice([" ", ".", ",", "\n"]) + word()
+            rows.append(view(before + x + after, len(before), len(before) + len(x)))
+            labels.append(i % 2)
+            forms.append("short")
+            continue
+        which = r.choice(secrets if i % 2 else others)
+        x = which()
+        forms.append("base" if which in secrets[:3] else "run")
         before, after = " ".join(word() for _ in range(6)) + r.choice([" ", "\n", " (", ": "]), r.choice([" ", ".", ",", "\n", ")"]) + word()
         rows.append(view(before + x + after, len(before), len(before) + len(x)))
         labels.append(i % 2)
-    return rows, labels
+    return rows, labels, forms
 
 
 class Network:
@@ -145,7 +185,8 @@ class Network:
         r = np.random.default_rng(seed)
         self.w = {"e": r.normal(0, 0.3, (CLASSES, DIM)), "c": r.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)), "cb": np.zeros(FILTERS), "o": r.normal(0, 0.1, 2 * FILTERS), "ob": np.zeros(1)}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift = 1.0, 0.0
+        self.thresholds = {"run": 0.5, "short": 0.5}
 
     def forward(self, x: np.ndarray):
         n, m = len(x), WIDE - WIDTH + 1
@@ -180,11 +221,11 @@ class Network:
 
 @functools.cache
 def trained(recall: float = RECALL) -> Network:
-    rows, labels = findings()
-    x, y = np.array(rows), np.array(labels)
+    rows, labels, forms = findings()
+    x, y, form = np.array(rows), np.array(labels), np.array(forms)
     order = np.random.default_rng(SEED).permutation(len(x))
-    cut = len(x) * 3 // 4
-    fit, calibrate, net = order[:cut], order[cut:], Network()
+    cut, second = len(x) * 3 // 5, len(x) * 4 // 5
+    fit, calibrate, choose, net = order[:cut], order[cut:second], order[second:], Network()
     moments, step = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}, 0
     for epoch in range(EPOCHS):
         for a in range(0, cut, 64):
@@ -201,14 +242,15 @@ def trained(recall: float = RECALL) -> Network:
         p = 1 / (1 + np.exp(-(a * logit + b)))
         a, b = a - 0.5 * float(np.mean((p - want) * logit)) / max(1.0, float(np.mean(logit**2))), b - 0.5 * float(np.mean(p - want))
     net.scale, net.shift = a, b
-    found = np.sort(net.scores([x[i].tolist() for i in calibrate])[want == 1])
-    net.threshold = float(found[int((1 - recall) * len(found))])
+    for kind in net.thresholds:
+        found = np.sort(net.scores(x[[i for i in choose if y[i] and form[i] == kind]].tolist()))
+        net.thresholds[kind] = float(found[int((1 - recall) * len(found))])
     return net
 
 
 class Scanner:
     def __init__(self, net: Network):
-        self.net, self.rules, self.more = net, matchers(), re.compile(CANDIDATE)
+        self.net, self.rules, self.more, self.short = net, matchers(), re.compile(CANDIDATE), re.compile(SHORT)
 
     def scan(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], float]]:
         """(spans as (start, kind, end) in that order, greatest score) of each text."""
@@ -228,7 +270,9 @@ class Scanner:
             spans = base_spans(text, self.rules)
             base.append(spans)
             best.append(0.0)
-            for a, kind, b in [*spans, *((a, 3, b) for a, b in candidates(text, self.more, spans))]:
+            runs = candidates(text, self.more, spans)
+            runs += short_candidates(text, self.short, sorted([*((a, b) for a, _, b in spans), *runs]))
+            for a, kind, b in [*spans, *((a, 3, b) for a, b in runs)]:
                 for x in views(text, a, b) if kind == 3 else [view(text, a, b)]:
                     of.append((k, a, kind, b))
                     held.append(x)
@@ -236,7 +280,7 @@ class Scanner:
                         flush()
         flush()
         for (k, a, b), p in greatest.items():
-            if p >= self.net.threshold:
+            if p >= self.net.thresholds["run" if b - a >= LEAST else "short"]:
                 base[k].append((a, 3, b))
         return [(sorted(s), p) for s, p in zip(base, best, strict=True)]
 
@@ -269,7 +313,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of every text (overlapping ones joined) replaced by a mark, n_chars set anew where it is a column. Null texts stay null."""
+    """``docs`` with every span of every text replaced by a mark (one for overlapping ones), n_chars set anew where it is a column. Null texts stay null."""
     net, names = trained(), docs.columns
 
     def make():
