@@ -6,8 +6,8 @@ two. The search takes the longest match at each place and, when it isn't compati
 shorter one, or steps back; a place found hopeless is never tried again, so work is linear in the piece. Compatibility is
 memoised by pair. Pieces that are entries themselves encode to that entry.
 
-Null texts count as empty; an empty text has no ids. Rows are kept one for one, also repeated ones and null ids. Texts are
-whole, however long; other columns are ignored.
+Null texts count as empty; an empty text has no ids. Rows are kept one for one, also repeated ones and null ids; tables without rows give
+none. Texts are whole, however long; a piece's matches are found window by window. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import hashlib
 import re
 import sys
 import unicodedata
+from array import array
+from collections.abc import Sequence
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from .common import map_chunks
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of each memo table; when full it starts anew.
 MEMO = 250_000
+#: Bytes of a piece whose matches are held at once.
+WINDOW = 1 << 14
 _NONE = 1 << 60
 #: Unicode's White_Space, as a class body (fixed values of the standard).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -76,9 +80,10 @@ class Bpe:
         for b, i in ranks.items():
             self.found.add_word(b.decode("latin-1"), (len(b), i))
         self.found.make_automaton()
+        self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, Sequence[int]] = {}
 
     def merged(self, b: bytes) -> list[int]:
         """The merges by rank, done one by one: what defines the encoding. For short strings."""
@@ -104,36 +109,49 @@ class Bpe:
             known = self.alone[a] = self.merged(self.entry[a]) == [a]
         return known
 
-    def search(self, b: bytes) -> tuple[int, ...]:
-        n = len(b)
-        starts: list[list] = [[] for _ in range(n)]  # matches by start, shortest first
-        for end, hit in self.found.iter(b.decode("latin-1")):
-            starts[end + 1 - hit[0]].append(hit)
-        path, at, k = [], 0, len(starts[0]) - 1  # path: (start, which match); k: which match to try next
-        hopeless = bytearray(n + 1)
-        ids: list[int] = []
+    def window(self, b: bytes, at: int) -> list[list]:
+        """The entries that start at each of the next ``WINDOW`` places, shortest first; they may end beyond."""
+        size = min(WINDOW, len(b) - at)
+        starts: list[list] = [[] for _ in range(size)]
+        for end, hit in self.found.iter(b[at : at + size + self.longest - 1].decode("latin-1")):
+            if (i := end + 1 - hit[0]) < size:
+                starts[i].append(hit)
+        return starts
+
+    def search(self, b: bytes) -> array:
+        """Matches are held for two windows at a time; what grows with the piece are flat arrays, some 15 bytes an id and one a byte."""
+        n, at, k = len(b), 0, -1
+        path, which, ids = array("q"), array("H"), array("i")  # where each id starts, and which match it is
+        hopeless, new = bytearray(n + 1), True  # new: at a place where the longest match is to be tried first
+        low, starts = 0, self.window(b, 0)
+        other: tuple[int, list[list]] = (0, starts)
         while at < n:
-            here = starts[at]
+            if not low <= at < low + len(starts):
+                place = at - at % WINDOW
+                (low, starts), other = other if other[0] == place else (place, self.window(b, place)), (low, starts)
+            here = starts[at - low]
+            if new:
+                k = len(here) - 1
             while k >= 0:
                 size, token = here[k]
                 if not hopeless[at + size] and (self.compatible(ids[-1], token) if ids else self.stands(token)):
                     break
                 k -= 1
-            if k >= 0:
-                path.append((at, k))
+            new = k >= 0
+            if new:
+                path.append(at)
+                which.append(k)
                 ids.append(token)
                 at += size
-                k = len(starts[at]) - 1 if at < n else 0
             else:
                 if not path:
                     raise ValueError("the vocabulary doesn't cover all bytes")
                 hopeless[at] = 1
-                at, k = path.pop()
+                at, k = path.pop(), which.pop() - 1
                 ids.pop()
-                k -= 1
-        return tuple(ids)
+        return ids
 
-    def piece(self, p: str) -> tuple[int, ...]:
+    def piece(self, p: str) -> Sequence[int]:
         if len(self.pieces) >= MEMO:
             self.pieces.clear()
         b = p.encode("utf-8", "surrogatepass")
