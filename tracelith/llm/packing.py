@@ -5,10 +5,11 @@ piece holding the rest. The histogram of piece lengths (as many rows as a sequen
 sees: patterns of one, two or three lengths that fill a sequence exactly are enumerated, their repeat counts fitted by
 non-negative least squares, rounded and applied as far as pieces last, and what remains is packed best fit decreasing, again
 by length. The plan says for each length which ranks go to which sequences; its size depends on the sequence length only.
-Ranks within a length come from counts by (length, salt), so a length that most pieces share is spread over many tasks.
+Ranks within a length come from counts by (length, salt), so a length that most pieces share is spread over many tasks; the
+number of salts grows with the documents.
 
 Null texts count as empty (the end id alone); repeated rows are packed each; null ids are packed too and keep a null id.
-Tables without rows give no rows. Other columns are ignored.
+Tables without rows give no rows. Texts are tokenised whole. Other columns are ignored, whatever their names.
 
 Ids are those of the tokenizers library with the given file; they come from the same vocabulary and merges run by the
 tiktoken library, which is several times faster, and from tokenizers itself where that one gives up. Strings of special
@@ -31,7 +32,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .common import map_chunks, written
 
-SEQUENCE, END, SALTS = 1024, 2, 256
+#: Salts that a length's pieces are dealt by: one for so many documents, and no fewer than SALTS.
+SEQUENCE, END, SALTS, PER_SALT = 1024, 2, 256, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -175,7 +177,9 @@ def layout(groups: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def pack(docs: DataFrame, path: str, pattern: str, size: int = SEQUENCE, end: int = END) -> DataFrame:
     """One row for each piece of each document; see PACKED."""
-    cut = written(pieces(docs, path, pattern, size, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    salts = max(SALTS, docs.count() // PER_SALT)
+    # By place, not by id, so that null and repeated ids are dealt too; written down, so that it stays.
+    cut = written(pieces(docs, path, pattern, size, end).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")), "pieces")
     by_salt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = by_salt.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length of a sequence
