@@ -7,11 +7,13 @@ greatest of its windows'. In training the greatest window carries the gradient.
 signed root of each feature's likelihood ratio between the classes of the training texts, less what chance gives (``evidence``). Inference keeps each word's input projections in a table, so a step costs one small product.
 
 The training sample is bounded: at most ``SAMPLE`` labelled documents of each class, those with the least hashes of their
-ids; equal texts count once. Only these reach the driver. Without both classes every score is the share of the class
+ids, one text for each id; equal texts count once. Only these reach the driver, as whole
+texts. Without both classes every score is the share of the class
 there is (0.5 without any labels).
 
 Null texts count as empty; texts without words get a score from an empty window. Repeated rows are scored each; a null id
-is never held out. Other columns are never read for a score.
+is never held out. Tables without rows give no rows; texts are scored whole, in groups of windows. Other columns, whatever their names,
+are never read for a score; ``clean`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -336,8 +338,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     marked = marked.join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
     n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text or "", r.toxic) for r in rows})
+    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+    # One text for each id, whatever repeats there are: the greatest hash's.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")).collect()
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows], n[1] / (n[0] + n[1]) if len(n) == 2 else None
 
 
