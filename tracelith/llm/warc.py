@@ -8,8 +8,10 @@ used, so lost executors and repeated tasks do no harm. No task holds more than o
 
 Payloads are UTF-8; a null html is an empty payload. Of payloads of ``LEAST`` bytes or more that are equal (by SHA-1 and length), the
 record with the largest page_id holds it; the others are revisits that name it. Rows that repeat the largest page_id are
-responses each; null page_ids never count as the largest, and without any other id such rows are all responses. Control
-characters in urls are percent-encoded in headers; null urls have no header.
+responses each (revisits name the one with the greatest url); null page_ids never count as the largest, and without any other id such rows are
+all responses. A revisit names its holder by ``WARC-Record-ID``, and by page. Control characters in urls are percent-encoded in headers;
+urls of any length are written whole; null urls have no header. Tables without rows give no archives and no rows. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import remove_dir, shared_dir, written
+from .common import join_dealt, remove_dir, shared_dir, written
 
 LEAST, ARCHIVE, PIECE, LEVEL = 1000, 32 << 20, 1 << 18, 1
 DATE = "2024-01-01T00:00:00Z"
@@ -37,16 +39,20 @@ INDEXED = "path string, index_path string, n_records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit (``refers_to`` isn't null) carries HTTP headers only."""
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}/{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC record; a revisit (``refers_to`` isn't null) carries HTTP headers only and the id of the record that holds the payload."""
     revisit = refers_to is not None
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + (b"" if revisit else payload)
     safe = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}/{digest}')}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {safe}"] if url else []), *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {size}",
-        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"X-Refers-To-Page-Id: {refers_to}"] if revisit else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -96,20 +102,26 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest and refers_to (null for responses). Only digests that repeat are joined."""
+    """Adds payload, payload_bytes, payload_digest, refers_to and refers_url (null for responses).
+
+    Only digests that repeat are joined; the rows of one that many pages share are dealt to many tasks.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     repeated = (
         rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 and holder is not null").drop("n")
+        .agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("h"), F.count("*").alias("n")).where("n > 1 and h is not null")
+        .select("payload_digest", "payload_bytes", "n", F.col("h.page_id").alias("holder"), F.col("h.url").alias("holder_url"))
     )
+    repeated = written(repeated, "repeated")  # read for the heavy keys and for the join
     other = F.col("page_id").isNull() | (F.col("page_id") < F.col("holder"))
-    return rows.join(repeated, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(other, F.col("holder"))).drop("holder")
+    joined = join_dealt(rows, repeated, ["payload_digest", "payload_bytes"], rows.count(), "left", by=["page_id", "url"])
+    return joined.withColumns({"refers_to": F.when(other, F.col("holder")), "refers_url": F.when(other, F.col("holder_url"))}).drop("holder", "holder_url")
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes archives under ``folder`` and returns their paths (written down, so that later reads don't write again)."""
-    rows = decided(pages, least).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")
+    rows = decided(pages, least).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_url")
     arrow = to_arrow_schema(_parse_datatype_string(FILES))
 
     def run(batches):
@@ -124,12 +136,12 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
 
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, payload, digest, length, refers_to = (c[i].as_py() for c in b.columns)
+                page_id, url, payload, digest, length, refers_to, refers_url = (c[i].as_py() for c in b.columns)
                 if out is None:
                     path, z, n, size = f"part-{uuid.uuid4().hex}.warc.gz", zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{path}", compression=None)
-                out.write(z.compress(record(page_id, url, payload, digest, length, refers_to)))
+                out.write(z.compress(record(page_id, url, payload, digest, length, refers_to, refers_url)))
                 n, size = n + 1, size + length
                 if size >= ARCHIVE:
                     yield close()
@@ -181,8 +193,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             payload = body[body.index(b"\r\n\r\n") + 4 :]
             if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError("a record's payload doesn't match its digest")
-        page_id, refers = head.get("x-page-id"), head.get("warc-refers-to")
-        return None if page_id is None else int(page_id), size, digest, kind, int(refers.removeprefix("<urn:page:").rstrip(">")) if refers else None
+        page_id, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+        return None if page_id is None else int(page_id), size, digest, kind, int(refers) if refers else None
 
     def run(batches):
         for b in batches:
