@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -195,10 +196,8 @@ def test_simhash_against_brute_force(spark, odd):
     assert len(r) == len(ODD) and {x.component_id for x in r if x.doc_id in (4, 5)} == {4} and {x.component_id for x in r if x.doc_id in (1, 2)} == {1}
 
 
-@pytest.mark.parametrize("cell", [2, 48])
-def test_simhash_links_in_dense_groups(spark, monkeypatch, cell):
-    """Chains and clusters of fingerprints; with small cells, by the values one bit away."""
-    monkeypatch.setattr(simhash, "CELL", cell)
+def test_simhash_links_in_dense_groups(spark):
+    """Chains and clusters of fingerprints."""
     r = random.Random(3)
     fps = {0, 1, 3, (1 << 64) - 1}
     for _ in range(6):
@@ -236,6 +235,25 @@ def test_components_of_a_long_chain(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("light", [1, 100])
+def test_components_of_stars(spark, monkeypatch, light):
+    """Hubs whose edges are dealt to several tasks."""
+    monkeypatch.setattr(common, "LIGHT", light)
+    monkeypatch.setattr(common, "SHARE", 20)
+    edges = [(h, h + i) for h in (1000, 2000, 3000) for i in range(1, 300)] + [(5, 1299), (2299, 3299), (7, 7)]
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {h + i: r for h, r in ((1000, 5), (2000, 2000), (3000, 2000)) for i in range(300)} | {5: 5}
+    assert got == want
+
+
+def test_dealt_join_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 3)
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 99, i) for i in range(400)] + [(None, -1)], "k long, i long")
+    right = spark.createDataFrame([(k, f"r{k}", n) for k, n in ((99, 200), (0, 28), (1, 29), (2, 28))], "k long, r string, n long")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_dealt(rows, right, ["k"], 401, how).collect())) == sorted(map(str, rows.join(right.drop("n"), ["k"], how).collect()))
+
+
 # MinHash
 
 
@@ -320,6 +338,25 @@ def test_bpe_of_long_pieces(text):
     assert bpe.codec(MULTI, public_tokenizers.PATTERN).encode(text) == library_of().encode_ordinary(text)
 
 
+@pytest.mark.parametrize("window", [1, 3, 16])
+def test_bpe_over_windows(monkeypatch, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    c, r = bpe.codec(MULTI, public_tokenizers.PATTERN), random.Random(10)
+    for _ in range(300):
+        b = "".join(r.choice(["a", "th", "e", "ing", "é", "ab", "x", "tion"]) for _ in range(r.randint(1, 60)))
+        assert list(c.search(b.encode())) == library_of()._encode_single_piece(b)
+
+
+def test_bpe_of_a_piece_of_megabytes():
+    c = bpe.codec(MULTI, public_tokenizers.PATTERN)
+    text = "abth" * 750_000
+    tracemalloc.start()
+    ids = c.search(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.decode(ids) == text.encode() and peak < 60e6
+
+
 def test_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 50)
     c = bpe.Bpe(bpe.load_ranks(MULTI), public_tokenizers.PATTERN)
@@ -371,6 +408,8 @@ def test_packing(spark, odd, none):
     rows = [(i, prose(r, int(r.lognormvariate(5, 1)))) for i in range(300)] + [(1000 + i, "the same text again and again") for i in range(200)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, public_tokenizers.PATTERN).collect()
     n, total = held(got), sum(x.length for x in got)
+    same = packing.pack(spark.createDataFrame([(None, "the same text")] * 3000, "doc_id long, text string"), WORDS, public_tokenizers.PATTERN).collect()
+    assert held(same) <= math.ceil(sum(x.length for x in same) / packing.SEQUENCE) + 1 and len(same) == 3000
     assert n <= math.ceil(total / packing.SEQUENCE) + 3
     f = packing.encoder(WORDS, public_tokenizers.PATTERN)
     by = {(x.doc_id, x.piece): x for x in got}

@@ -3,16 +3,15 @@
 Words are runs without ASCII white space (ASCII letters lower-cased), shingles 3 words. A fingerprint is cut into 16
 segments of 4 bits; their bit counts are a point of a grid. Two fingerprints that differ in d bits lie at a Manhattan
 distance of d at most, so the range join at distance 2 loses no link: every point goes to its own cell and to the 32
-cells one step away, and two points at distance 2 or less meet in at least one cell. Pairs that meet are verified by
-the bits that differ.
-
-A cell of more than ``CELL`` fingerprints isn't paired: its fingerprints are linked exactly by the values one bit away
-(two fingerprints differ in 2 bits or fewer if and only if they share such a value or are such a value), each value's
-members to the least of them, so that work stays linear in a group however large. Both ways give the same components.
+cells one step away, and two points at distance 2 or less meet in at least one cell. A fingerprint that meets no other
+has no link. Those that meet are verified exactly by the values one bit away: two fingerprints differ in 2 bits or fewer
+if and only if they share such a value or are such a value. Each value's members are linked to the least of them, all
+of which are links, so that work is linear in a cell or a group however large, and pairs are never made.
 
 The join runs over distinct fingerprints. Null texts count as empty; texts without words have fingerprint zero and
 link like any other; repeated rows share a fingerprint and so a component; a null doc_id keeps its row, is never a
-component's id unless all are null (then null). Other columns are ignored.
+component's id unless all are null (then null). Tables without rows give no rows. Texts are read whole, in blocks of
+words. ``near_duplicates`` ignores other columns; ``one_of_each`` keeps them, and names of its own begin with ``_tracelith_``.
 """
 
 from __future__ import annotations
@@ -22,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_chunks, written
+from .common import components, join_dealt, map_chunks, written
 
-WORDS, SEGMENTS, BITS, DISTANCE, CELL = 3, 16, 4, 2, 48
+WORDS, SEGMENTS, BITS, DISTANCE = 3, 16, 4, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes that separate words; bytes.split() takes just these: space and \x09-\x0D.
 _BLOCK = 1 << 14
@@ -73,19 +72,16 @@ def bit_neighbours(fp: str = "fp") -> F.Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, whose components are those of all links at ``DISTANCE`` bits or fewer."""
+    """Edges (a, b) between distinct fingerprints, whose components are those of all links at ``DISTANCE`` bits or fewer.
+
+    The range join over cells finds the fingerprints that meet any other; these alone are verified, by the values one bit away.
+    """
     cells = fps.select("fp", F.explode(grid_cells()).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    small = written(cells.join(sizes, "cell").select("cell", "fp", (F.col("n") <= CELL).alias("few")), "cells")
-    few, many = small.where("few").select("cell", "fp"), small.where("not few").select("fp").distinct()
-    pairs = (
-        few.groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("m"))  # CELL members at most
-        .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))))")).alias("e"))
-        .select("e.a", "e.b")
-    )
-    near = many.select("fp", F.explode(bit_neighbours()).alias("v")).groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n"))
-    stars = many.select("fp", F.explode(bit_neighbours()).alias("v")).join(near.where("n > 1"), "v").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.union(stars).distinct()
+    meeting = written(cells.join(sizes, "cell", "left_semi").select("fp").distinct(), "meeting")
+    values = meeting.select("fp", F.explode(bit_neighbours()).alias("v"))
+    shared = values.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return values.join(shared, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def by_fingerprint(own: DataFrame) -> DataFrame:
@@ -98,10 +94,11 @@ def by_fingerprint(own: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     own = written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
-    with_root = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(by_fingerprint(own), "fp")
-    least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = with_root.join(least, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with_root = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(by_fingerprint(own), "fp"), "roots")
+    by_root = written(with_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    n = own.count()
+    by_fp = join_dealt(with_root.withColumnRenamed("n", "n_rows"), by_root, ["root"], n, by=["fp"]).select("fp", "component_id", F.col("n_rows").alias("n"))
+    return join_dealt(own, written(by_fp, "components"), ["fp"], n).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
