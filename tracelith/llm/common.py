@@ -103,7 +103,8 @@ def join_dealt(rows: DataFrame, by_key: DataFrame, keys: list[str], n: int, how:
     mark = F.xxhash64(*by) if by else F.monotonically_increasing_id()
     dealt = dealt.withColumn("_tracelith_salt", F.when(F.col("_tracelith_salts").isNotNull(), F.pmod(mark, F.col("_tracelith_salts"))).otherwise(0).cast("int")).drop("_tracelith_salts")
     copies = F.when(F.col("n") > few, F.sequence(F.lit(0), F.ceil(F.col("n") / few).cast("int") - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.join(by_key.withColumn("_tracelith_salt", F.explode(copies)).drop("n"), [*keys, "_tracelith_salt"], how).drop("_tracelith_salt")
+    # Merged: a broadcast table of several keys takes pages of many MB, however few its rows.
+    return dealt.join(by_key.withColumn("_tracelith_salt", F.explode(copies)).drop("n").hint("merge"), [*keys, "_tracelith_salt"], how).drop("_tracelith_salt")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

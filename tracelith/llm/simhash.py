@@ -3,10 +3,10 @@
 Words are runs without ASCII white space (ASCII letters lower-cased), shingles 3 words. A fingerprint is cut into 16
 segments of 4 bits; their bit counts are a point of a grid. Two fingerprints that differ in d bits lie at a Manhattan
 distance of d at most, so the range join at distance 2 loses no link: every point goes to its own cell and to the 32
-cells one step away, and two points at distance 2 or less meet in at least one cell. A fingerprint that meets no other
-has no link. Those that meet are verified exactly by the values one bit away: two fingerprints differ in 2 bits or fewer
-if and only if they share such a value or are such a value. Each value's members are linked to the least of them, all
-of which are links, so that work is linear in a cell or a group however large, and pairs are never made.
+cells one step away, and two points at distance 2 or less meet in at least one cell. Within a cell they are verified
+exactly by the values there that differ from them in one bit or none: two fingerprints differ in 2 bits or fewer if and
+only if they share such a value. A value's members are linked to the least of them, all of which are links, so that work
+is linear (65 rows for each distinct fingerprint) in a cell or a group however large, and pairs are never made.
 
 The join runs over distinct fingerprints. Null texts count as empty; texts without words have fingerprint zero and
 link like any other; repeated rows share a fingerprint and so a component; a null doc_id keeps its row, is never a
@@ -59,29 +59,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_chunks(docs, make, ", ".join([*kept, "fp long"]))
 
 
-def grid_cells(fp: str = "fp") -> F.Column:
-    """The cells of a fingerprint as longs: its point, and those one step away. A count of 0 to 4, plus 1, takes 3 bits."""
-    point = " + ".join(f"shiftleft(cast(bit_count(shiftrightunsigned({fp}, {4 * i}) & 15L) + 1 as bigint), {3 * i})" for i in range(SEGMENTS))
-    steps = ", ".join(f"p + {1 << 3 * i}L, p - {1 << 3 * i}L" for i in range(SEGMENTS))
-    return F.expr(f"flatten(transform(array({point}), p -> array(p, {steps})))")
+def point(fp: str) -> str:
+    """SQL: the grid point of a fingerprint as a long, 3 bits for each segment's count of 0 to 4."""
+    return " + ".join(f"shiftleft(cast(bit_count(shiftrightunsigned({fp}, {BITS * i}) & 15L) as bigint), {3 * i})" for i in range(SEGMENTS))
 
 
-def bit_neighbours(fp: str = "fp") -> F.Column:
-    """The fingerprint and the 64 values one bit away."""
-    return F.expr(f"concat(array({fp}), transform(sequence(0, 63), i -> {fp} ^ shiftleft(1L, i)))")
+def meeting_places(fp: str = "fp") -> F.Column:
+    """Where a fingerprint looks for others: (cell, value) for its own cell and the 32 one step away, each with the values there that differ from it in one bit or none."""
+    return F.expr(f"transform(concat(array({fp}), transform(sequence(0, 63), i -> {fp} ^ shiftleft(1L, i))), v -> struct({point('v')} as cell, v as value))")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, whose components are those of all links at ``DISTANCE`` bits or fewer.
-
-    The range join over cells finds the fingerprints that meet any other; these alone are verified, by the values one bit away.
-    """
-    cells = fps.select("fp", F.explode(grid_cells()).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = written(cells.join(sizes, "cell", "left_semi").select("fp").distinct(), "meeting")
-    values = meeting.select("fp", F.explode(bit_neighbours()).alias("v"))
-    shared = values.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return values.join(shared, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    """Edges (a, b) between distinct fingerprints, whose components are those of all links at ``DISTANCE`` bits or fewer."""
+    rows = fps.select("fp", F.explode(meeting_places()).alias("at")).select("fp", "at.cell", "at.value")
+    shared = rows.groupBy("cell", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(shared.hint("merge"), ["cell", "value"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def by_fingerprint(own: DataFrame) -> DataFrame:
