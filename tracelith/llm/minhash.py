@@ -7,7 +7,7 @@ shingles. Equal texts have equal signatures. The fingerprint is 16 bits of each
 fingerprints is the share of equal places, an estimate of the Jaccard similarity of the shingle sets (standard error
 below 0.045). Two texts without words are alike (1).
 
-Null texts count as empty. Repeated rows keep their number. Null ids come after all others in ``edited``; equal ids are
+Null texts count as empty; tables without rows give no rows; texts are hashed whole, shingles in blocks. Repeated rows keep their number. Null ids come after all others in ``edited``; equal ids are
 ordered by text there. Other columns are ignored.
 """
 

@@ -13,7 +13,8 @@ batch of queries. Each block gives at most k rows for each query.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Vectors of different lengths are compared
 on the dimensions they share. A row isn't a candidate for queries with its own id; rows that repeat an id are candidates
-each, and one query (of their least vector). Null ids take no part. Ties go to the smaller id. Sums must fit 64 bits.
+each, and one query (of their least vector). Null ids take no part. Ties go to the smaller id. Sums must fit 64 bits. Tables
+without rows or without queries give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
