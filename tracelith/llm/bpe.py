@@ -71,6 +71,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Windows:
+    """The entries that start at each place of a long piece, shortest first; found for ``WINDOW`` places at a time, two of which are held."""
+
+    def __init__(self, owner: Bpe, b: bytes):
+        self.owner, self.b = owner, b
+        self.held: dict[int, list[list]] = {}
+
+    def __getitem__(self, at: int) -> list:
+        k, i = divmod(at, WINDOW)
+        if (window := self.held.get(k)) is None:
+            if len(self.held) == 2:
+                del self.held[max(self.held, key=lambda x: abs(x - k))]
+            window = self.held[k] = self.find(k * WINDOW)
+        return window[i]
+
+    def find(self, at: int) -> list[list]:
+        size = min(WINDOW, len(self.b) - at)
+        starts: list[list] = [[] for _ in range(size)]
+        for end, hit in self.owner.found.iter(self.b[at : at + size + self.owner.longest - 1].decode("latin-1")):  # they may end beyond
+            if (i := end + 1 - hit[0]) < size:
+                starts[i].append(hit)
+        return starts
+
+
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.entry = ranks, {i: b for b, i in ranks.items()}
@@ -109,40 +133,31 @@ class Bpe:
             known = self.alone[a] = self.merged(self.entry[a]) == [a]
         return known
 
-    def window(self, b: bytes, at: int) -> list[list]:
-        """The entries that start at each of the next ``WINDOW`` places, shortest first; they may end beyond."""
-        size = min(WINDOW, len(b) - at)
-        starts: list[list] = [[] for _ in range(size)]
-        for end, hit in self.found.iter(b[at : at + size + self.longest - 1].decode("latin-1")):
-            if (i := end + 1 - hit[0]) < size:
-                starts[i].append(hit)
-        return starts
-
-    def search(self, b: bytes) -> array:
-        """Matches are held for two windows at a time; what grows with the piece are flat arrays, some 15 bytes an id and one a byte."""
-        n, at, k = len(b), 0, -1
-        path, which, ids = array("q"), array("H"), array("i")  # where each id starts, and which match it is
-        hopeless, new = bytearray(n + 1), True  # new: at a place where the longest match is to be tried first
-        low, starts = 0, self.window(b, 0)
-        other: tuple[int, list[list]] = (0, starts)
+    def search(self, b: bytes) -> Sequence[int]:
+        """What grows with a piece of more than ``WINDOW`` bytes is flat: some 15 bytes an id and one a byte."""
+        n = len(b)
+        if n <= WINDOW:
+            starts: list[list] | Windows = [[] for _ in range(n)]  # matches by start, shortest first
+            for end, hit in self.found.iter(b.decode("latin-1")):
+                starts[end + 1 - hit[0]].append(hit)
+            path, which, ids = [], [], []  # where each id starts, and which match it is
+        else:
+            starts, path, which, ids = Windows(self, b), array("q"), array("H"), array("i")
+        at, k = 0, len(starts[0]) - 1  # k: which match to try next
+        hopeless = bytearray(n + 1)
         while at < n:
-            if not low <= at < low + len(starts):
-                place = at - at % WINDOW
-                (low, starts), other = other if other[0] == place else (place, self.window(b, place)), (low, starts)
-            here = starts[at - low]
-            if new:
-                k = len(here) - 1
+            here = starts[at]
             while k >= 0:
                 size, token = here[k]
                 if not hopeless[at + size] and (self.compatible(ids[-1], token) if ids else self.stands(token)):
                     break
                 k -= 1
-            new = k >= 0
-            if new:
+            if k >= 0:
                 path.append(at)
                 which.append(k)
                 ids.append(token)
                 at += size
+                k = len(starts[at]) - 1 if at < n else 0
             else:
                 if not path:
                     raise ValueError("the vocabulary doesn't cover all bytes")
