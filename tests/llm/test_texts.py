@@ -338,6 +338,17 @@ def test_bpe_of_long_pieces(text):
     assert bpe.codec(MULTI, public_tokenizers.PATTERN).encode(text) == library_of().encode_ordinary(text)
 
 
+def test_narrow_split_is_the_wide_one():
+    c, r = bpe.codec(MULTI, public_tokenizers.PATTERN), random.Random(11)
+    for i in range(256):
+        for text in (chr(i), f"a{chr(i)}b", f" {chr(i)}{chr(i)} 1{chr(i)}-"):
+            assert c.narrow(text) == c.wide(text)
+    for _ in range(3000):
+        text = "".join(chr(r.choice([32, 39, 45, 115, r.randrange(256)])) for _ in range(r.randint(0, 30)))
+        assert c.split(text) == c.narrow(text) == c.wide(text)
+    assert c.split("a\u2003-b") == c.wide("a\u2003-b")
+
+
 @pytest.mark.parametrize("window", [1, 3, 16])
 def test_bpe_over_windows(monkeypatch, window):
     monkeypatch.setattr(bpe, "WINDOW", window)

@@ -33,15 +33,20 @@ MEMO = 250_000
 WINDOW = 1 << 14
 _NONE = 1 << 60
 #: Unicode's White_Space, as a class body (fixed values of the standard).
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_LATIN_SPACE = r"\t-\r \x85\xa0"
+_SPACE = _LATIN_SPACE + "  -     　"
+
+
+#: One more than the last code point, and than Latin-1's.
+ALL, LATIN = sys.maxunicode + 1, 256
 
 
 @functools.cache
-def _class_body(major: str) -> str:
-    """The code points of a general category (L or N) as the inside of a regular expression's class."""
+def _class_body(major: str, limit: int = ALL) -> str:
+    """The code points below ``limit`` of a general category (L or N) as the inside of a regular expression's class."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
+    for c in range(limit + 1):
+        inside = c < limit and unicodedata.category(chr(c))[0] == major
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -51,9 +56,12 @@ def _class_body(major: str) -> str:
 
 
 @functools.cache
-def splitter(pattern: str) -> re.Pattern:
-    """``pattern`` (with the classes L and N, and white space) for the standard library's faster matcher."""
-    inner = {r"\p{L}": _class_body("L"), r"\p{N}": _class_body("N"), r"\s": _SPACE}
+def splitter(pattern: str, limit: int = ALL) -> re.Pattern:
+    """``pattern`` (with the classes L and N, and white space) for the standard library's faster matcher, and for texts of code points below ``limit``.
+
+    Within Latin-1 a class is a small bit map, which is several times faster; on such texts the matches are the same.
+    """
+    inner = {r"\p{L}": _class_body("L", limit), r"\p{N}": _class_body("N", limit), r"\s": _SPACE if limit > LATIN else _LATIN_SPACE}
 
     def group(m: re.Match) -> str:
         if m[1]:
@@ -61,7 +69,7 @@ def splitter(pattern: str) -> re.Pattern:
             for k, v in inner.items():
                 body = body.replace(k, v)
             return f"[^{body}]"
-        return f"[^{_SPACE}]" if m[0] == r"\S" else f"[{inner[m[0]]}]"
+        return f"[^{inner[chr(92) + 's']}]" if m[0] == r"\S" else f"[{inner[m[0]]}]"
 
     return re.compile(re.sub(r"\[\^([^\]]*)\]|\\p\{[LN]\}|\\s|\\S", group, pattern))
 
@@ -98,7 +106,7 @@ class Windows:
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.entry = ranks, {i: b for b, i in ranks.items()}
-        self.split = splitter(pattern).findall
+        self.wide, self.narrow = splitter(pattern).findall, splitter(pattern, LATIN).findall
         self.names = {i: str(i) for i in self.entry}
         self.found = ahocorasick.Automaton()
         for b, i in ranks.items():
@@ -176,6 +184,13 @@ class Bpe:
             self.pieces[p] = ids
         return ids
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known, add, new = self.pieces.get, out.extend, self.piece
