@@ -71,6 +71,8 @@ def meeting_places(fp: str = "fp") -> F.Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, whose components are those of all links at ``DISTANCE`` bits or fewer."""
+    # Few bytes become many rows: dealt to all tasks first, for by size they would be in a few.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = fps.select("fp", F.explode(meeting_places()).alias("at")).select("fp", "at.cell", "at.value")
     shared = rows.groupBy("cell", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(shared.hint("merge"), ["cell", "value"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
