@@ -291,19 +291,61 @@ def test_edited_texts(spark, odd, none, buckets):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
 
 
-def test_minhash_pairs(spark, odd):
+def grouped(sets, similarity=0.8):
+    """Brute force: links between different sets, and the least id of each document's component."""
+    ids = sorted(sets)
+    links = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b and sets[a] and sets[b]}
+    links = {k: v for k, v in links.items() if v >= similarity}
+    root = {d: d for d in ids}
+    empty = [d for d in ids if not sets[d]]
+    for a, b in [*sorted(links), *zip(empty, empty[1:])]:
+        x, y = sorted((root[a], root[b]))
+        root = {d: x if r == y else r for d, r in root.items()}
+    return links, root
+
+
+def test_minhash_classes_and_components(spark, odd, none):
     r = random.Random(7)
     base = [prose(r, 300) for _ in range(12)]
     near = [" ".join(t.split()[:290]) + " new words stand here now and then" for t in base]
-    rows = list(enumerate([*base, *near, *base[:3]])) + [(100, ""), (101, None)]
-    pairs, members = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(x.a, x.b): x.jaccard for x in pairs.collect()}
-    sets = {d: shingles(t) for d, t in rows}
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(24) for b in range(a + 1, 24)}
-    assert got == {k: v for k, v in want.items() if v >= 0.8} and len(got) == 12
-    m = {x.doc_id: x.class_id for x in members.collect()}
-    assert m[24] == 0 and m[26] == 2 and m[101] == 100
-    assert minhash.near_duplicates(odd)[1].count() == len(ODD) - 1
+    chain = [prose(r, 200)]
+    for _ in range(6):  # each like the next, the ends unlike
+        chain.append(" ".join([*chain[-1].split()[14:], *prose(r, 14).split()]))
+    passage = prose(r, 80)
+    common = [f"{passage} {prose(r, 60)}" for _ in range(40)]  # meet by chance in many buckets, unlike
+    twins = [t[:-3] + " end of it" for t in common[:10]]
+    texts = [*base, *near, *base[:3], *chain, *common, *twins, "", None, "two words", "Two\twords"]
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: shingles(t or "") for d, t in rows}
+    links, root = grouped(sets)
+    found, members = minhash.near_duplicates(docs)
+    m = {x.doc_id: x for x in members.collect()}
+    assert {d: x.component_id for d, x in m.items()} == root and len(m) == len(rows) and len(set(root.values())) < len(rows) - 30
+    assert all(x.class_id == min(e for e in sets if sets[e] == sets[d]) for d, x in m.items())
+    of_class = {x.set_id: x.class_id for x in m.values()}
+    got = {tuple(sorted((of_class[x.a], of_class[x.b]))): x.jaccard for x in found.collect()}
+    assert got and all(links[k] == v for k, v in got.items())
+    noted = {x.doc_id: x for x in minhash.fingerprinted(docs).collect()}
+    plain = {x.doc_id: x for x in minhash.edited(docs).collect()}
+    for d, x in noted.items():
+        assert tuple(x)[:7] == tuple(plain[d]) and (x.class_id, x.component_id, x.n_links, x.jaccard) == (m[d].class_id, root[d], m[d].n_links, m[d].jaccard)
+    assert minhash.fingerprinted(odd).count() == len(ODD) and minhash.fingerprinted(none).count() == 0
+    same = {x.doc_id: x.component_id for x in minhash.fingerprinted(odd).collect()}
+    assert same[1] == same[2] == 1 and same[4] == same[5] == 4 and same[None] is None
+
+
+def test_minhash_near_copies_cost_no_pairs(spark):
+    r = random.Random(8)
+    words = prose(r, 400).split()
+    rows = []
+    for i in range(300):
+        w = list(words)
+        w[r.randrange(400)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    links, members = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.component_id for x in members.collect()} == {0} and links.count() < 300 * 12
 
 
 # BPE

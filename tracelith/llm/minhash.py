@@ -7,8 +7,11 @@ shingles. Equal texts have equal signatures. The fingerprint is 16 bits of each
 fingerprints is the share of equal places, an estimate of the Jaccard similarity of the shingle sets (standard error
 below 0.045). Two texts without words are alike (1).
 
+Near-duplicates: the fingerprint cut into 32 bands of 4 places is joined in Spark, and every link is verified by the exact Jaccard
+similarity of the two shingle sets (64-bit hashes). A pair at similarity 0.8 shares no band in 5 of 10^8 cases.
+
 Null texts count as empty; tables without rows give no rows; texts are hashed whole, shingles in blocks. Repeated rows keep their number. Null ids come after all others in ``edited``; equal ids are
-ordered by text there. Other columns are ignored.
+ordered by text there. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import map_chunks, written
+from .common import components, join_dealt, map_chunks, written
 
 WORDS, PERMUTATIONS, SEED, BANDS, SIMILARITY = 5, 128, 20240229, 32, 0.8
 _SPACED = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,100 +102,174 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, signature: array of 32-bit minima as longs, shingles: distinct hashes), one row for each row."""
+    """One row for each row: doc_id, text_key, set_id (64-bit hash of the set of shingles), n_shingles (distinct), blocks (``BANDS`` longs: the fingerprint, cut)."""
 
     def make():
         h = Hasher()
 
         def rows(x):
-            each = [h.shingles(t) for t in x["text"]]
-            least = [h.least(s) for s in each]
-            return {"doc_id": x["doc_id"], "fingerprint": [fingerprint_of(s) for s in least], "signature": [s.tolist() for s in least], "shingles": [np.unique(s).view(np.int64).tolist() for s in each]}
+            sets, blocks = [np.unique(h.shingles(t)) for t in x["text"]], []
+            for s in sets:
+                blocks.append(h.least(s).astype("<u2").view("<i8").tolist())
+            ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            return {"doc_id": x["doc_id"], "text_key": x["text_key"], "set_id": ids, "n_shingles": list(map(len, sets)), "blocks": blocks}
 
         return rows
 
-    return map_chunks(docs.select("doc_id", "text"), make, "doc_id long, fingerprint string, signature array<long>, shingles array<long>")
+    return map_chunks(docs.select("doc_id", "text", text_key().alias("text_key")), make, "doc_id long, text_key long, set_id long, n_shingles int, blocks array<long>")
+
+
+def text_key() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_id, shingles) of ``classes``, each from the one document that stands for it (its doc_id and text_key)."""
+
+    def make():
+        h = Hasher(1)
+        return lambda x: {"set_id": x["set_id"], "shingles": [np.unique(h.shingles(t)).view(np.int64).tolist() for t in x["text"]]}
+
+    keys = classes.select("set_id", F.col("doc_id").alias("_tracelith_id"), F.col("text_key").alias("_tracelith_key"))
+    found = docs.select("doc_id", "text", text_key().alias("text_key")).join(keys, F.expr("doc_id <=> _tracelith_id and text_key = _tracelith_key"))
+    return map_chunks(found.select("set_id", "text"), make, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, jaccard) of the ``pairs`` (a, b: set ids) whose sets have the similarity, counted exactly."""
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(docs, written(classes.select("set_id", "doc_id", "text_key").join(named, "set_id"), "named")), "sets")
+    left = pairs.groupBy("a").agg(F.count("*").alias("n")).join(sets.toDF("a", "sa"), "a")
+    both = join_dealt(pairs.join(sets.toDF("b", "sb"), "b"), left, ["a"], pairs.count(), by=["b"])
+    shared = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return written(shared.select("a", "b", (F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= similarity), "links")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """Pairs between representatives, and membership.
+def _alike(x: str, y: str, similarity: float) -> F.Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
-    Texts with equal shingle sets form a class, named by its least doc_id (null ids are left out). Returns
-    ``(pairs, members)``: pairs (a, b, jaccard) of classes that share a band of the signature and whose exact Jaccard
-    similarity is ``similarity`` at least, a < b; members (doc_id, class_id), one row for each row with an id. Pairs of
-    texts without words aren't made: they are one class. Signature bands are joined by hash, one row for each class and
-    band, so copies meet no one and only distinct texts are compared.
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links between classes, and membership.
+
+    Texts with equal shingle sets form a class; texts without words are one. Returns ``(links, members)``: links (a, b, jaccard)
+    of classes (set_id) whose exact Jaccard similarity is ``similarity`` at least; members (doc_id, text_key, set_id, class_id,
+    component_id, n_links, jaccard), one row for each row: class_id and component_id are the least doc_id of the class and of
+    its component under the links (null if it has no other id), n_links counts the class's links, jaccard is the greatest of them.
+
+    Classes that share a band are candidates. Each is held against the least class of its bucket first, so that near copies
+    of one another cost one comparison each and not one for each pair. What then lies in different components though it shares a bucket is
+    compared pair by pair, so that every two candidates end in one component if a chain of verified links joins them.
     """
-    rows = PERMUTATIONS // bands
-    own = written(signatures(docs.where("doc_id is not null")).withColumn("set_id", F.sha2(F.array_join("shingles", ","), 256)), "signatures")
-    classes = own.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
-    members = own.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "class_id")
-    first = own.join(classes.withColumnRenamed("class_id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id"]).where(F.size("shingles") > 0)
-    keys = first.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(slice(signature, i * {rows} + 1, {rows})))")).alias("band", "key"))
-    met = (
-        keys.alias("x").join(keys.alias("y"), F.expr("x.band = y.band and x.key = y.key and x.doc_id < y.doc_id"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    )
-    sets = first.select("doc_id", "shingles")
+    own = written(signatures(docs), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("blocks").alias("blocks")).select("set_id", "of.doc_id", "of.text_key", "n", "size", "blocks"), "classes")
+    rows = classes.where("size > 0").select("set_id", "size", F.posexplode("blocks").alias("band", "key")).select("set_id", "size", F.xxhash64("band", "key").alias("key"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("set_id", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = written(join_dealt(rows, written(shared, "buckets"), ["key"], BANDS * classes.count(), by=["set_id"]), "met")
+    with_first = met.where("set_id <> first.set_id").where(_alike("size", "first.size", similarity))
+    links = verified(written(with_first.select(F.col("first.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), "pairs"), docs, classes, similarity)
+    # The rest: buckets that hold several components, their components in pairs, and the members of those.
+    roots = written(components(links.select("a", "b")).toDF("set_id", "root"), "roots")
+    placed = written(_rooted(met.select("set_id", "size", "key"), roots), "placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = written(placed.join(several, "key"), "open")
+    by_root = open_.groupBy("key", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    x, y = by_root.toDF("key", "r", "low", "high"), by_root.toDF("key", "other", "low_y", "high_y")
+    may = (F.col("r") < F.col("other")) & (F.col("high") >= similarity * F.col("low_y")) & (F.col("high_y") >= similarity * F.col("low"))
+    sides = x.join(y, "key").where(may).select("key", "r", "other")
     pairs = (
-        met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        .select("a", "b", F.expr("size(array_intersect(sa, sb)) / size(array_union(sa, sb))").alias("jaccard")).where(F.col("jaccard") >= similarity)
+        sides.join(open_.select("key", F.col("root").alias("r"), F.col("set_id").alias("a"), F.col("size").alias("size_a")), ["key", "r"])
+        .join(open_.select("key", F.col("root").alias("other"), F.col("set_id").alias("b"), F.col("size").alias("size_b")), ["key", "other"])
+        .where(_alike("size_a", "size_b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    return pairs, members
+    more = verified(written(pairs, "pairs"), docs, classes, similarity)
+    links = links.union(more)
+    ends = links.select(F.col("a").alias("set_id"), "jaccard").union(links.select("b", "jaccard")).groupBy("set_id").agg(F.count("*").alias("n_links"), F.max("jaccard").alias("jaccard"))
+    whole = components(links.select("a", "b")).toDF("set_id", "root")
+    grouped = written(_rooted(classes.select("set_id", "doc_id", "n"), whole).join(ends, "set_id", "left"), "grouped")
+    by_root = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_dealt(grouped.withColumnRenamed("n", "n_rows"), written(by_root, "components"), ["root"], own.count(), by=["set_id"])
+    by_set = named.select("set_id", F.col("doc_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "jaccard", F.col("n_rows").alias("n"))
+    members = join_dealt(own.select("doc_id", "text_key", "set_id"), written(by_set, "by_set"), ["set_id"], own.count())
+    return links, members
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (set_id, ...) with their component's root; a set without links is its own. Copies of a set are few (one for each band)."""
+    return rows.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NOTES = "class_id long, component_id long, n_links long, jaccard double"
 _LEAST = -(1 << 63)
 
 
-def edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """What ``edited`` gives, with each row's class, component and links from ``near_duplicates``."""
+    return edited(docs, members=near_duplicates(docs)[1])
+
+
+def edited(docs: DataFrame, buckets: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """Each document's fingerprint beside that of its edited text: the last half of it replaced by the start of the next document.
 
     Next is the document that follows by descending id, after the last the first. Texts move once: they are dealt by ranges of
     ids, whose bounds are quantiles; a range's first document also goes to the range before it, so that each task has all
     its rows' successors and no task orders the whole table. Only the bounds and one id for each range reach the driver.
+    With ``members`` (doc_id, text_key and the columns of ``NOTES``) these columns follow: the short rows go to the same ranges, each right
+    before the texts it tells of, so that texts aren't moved again to join them.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key")).withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
     splits = [] if buckets == 1 else sorted({int(x) for x in keyed.select("k").approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}, reverse=True)
     bounds = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("bucket", F.size(F.filter(bounds, lambda s: s > F.col("k"))))
-    heads = sorted(keyed.groupBy("bucket").agg(F.max("k").alias("k")).collect())
+    bucket = F.size(F.filter(bounds, lambda s: s > F.col("k"))).alias("bucket")
+    heads = sorted(keyed.select("k", bucket).groupBy("bucket").agg(F.max("k").alias("k")).collect())
+    schema = EDITED if members is None else f"{EDITED}, {NOTES}"
     if not heads:
-        return docs.sparkSession.createDataFrame([], EDITED)
+        return spark.createDataFrame([], schema)
     before = spark.createDataFrame([(h.k, heads[i - 1].bucket) for i, h in enumerate(heads)], "k long, guest_in int")
+    note, plain = [x.split()[0] for x in NOTES.split(", ")], members is None
+    texts = (
+        keyed.select("*", bucket).join(F.broadcast(before), "k", "left")
+        .select("*", F.explode(F.expr("if(guest_in is null, array(struct(bucket, false as guest)), array(struct(bucket, false as guest), struct(guest_in as bucket, true as guest)))")).alias("at"))
+        .select("doc_id", "text", "text_key", "k", "at.bucket", "at.guest", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':') for x in NOTES.split(', '))}>").alias("note"))
+    )
+    if members is not None:
+        short = members.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST))).select("doc_id", F.lit(None).cast("string").alias("text"), "text_key", "k", bucket, F.lit(False).alias("guest"), F.struct(*note).alias("note"))
+        texts = texts.unionByName(short)
     dealt = (
-        keyed.join(F.broadcast(before), "k", "left")
-        .select("doc_id", "text", "k", F.explode(F.expr("if(guest_in is null, array(struct(bucket, false as guest)), array(struct(bucket, false as guest), struct(guest_in as bucket, true as guest)))")).alias("at"))
-        .select("doc_id", "text", "k", "at.bucket", "at.guest")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket", "guest", F.desc("k"), F.col("doc_id").isNull(), "text")
-        .select("doc_id", "text", "bucket", "guest")
+        texts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), F.col("doc_id").isNull(), "text_key", F.col("note").isNull(), "text")
+        .select("doc_id", "text", "bucket", "guest", "note")
     )
-    arrow = to_arrow_schema(_parse_datatype_string(EDITED))
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         h = Hasher()
-        held = closed = None  # the row that waits for its successor; the bucket that is done with
+        held = closed = noted = None  # the row that waits for its successor; the bucket that is done with; what is known of the next texts
 
         def result(row, after):
-            (doc_id, text, sig), (_, other, other_sig) = row, after
+            (doc_id, text, sig, more), (_, other, other_sig, _) = row, after
             half = len(text) // 2
             new = text[: len(text) - half] + other[:half]
             s = h.signature(new)
-            return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_of(sig), fingerprint_of(s), likeness(sig, s), likeness(sig, other_sig)
+            return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_of(sig), fingerprint_of(s), likeness(sig, s), likeness(sig, other_sig), *more
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for doc_id, text, bucket, guest in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                for doc_id, text, bucket, guest, now in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if now is not None:
+                        noted = now
+                        continue
                     if guest and closed == bucket:
                         continue
-                    row = doc_id, text or "", h.signature(text)
+                    row = doc_id, text or "", h.signature(text), () if plain or guest else tuple(noted[c] for c in note)
                     if held is not None:
                         out.append(result(held, row))
                     held, closed = (None, bucket) if guest else (row, None)
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), arrow)] if out else [pa.array([], x.type) for x in arrow], schema=arrow)
 
-    return dealt.mapInArrow(run, EDITED)
+    return dealt.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edited(table(spark, sf_dir, "documents"))
+    return minhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
