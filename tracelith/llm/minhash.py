@@ -20,17 +20,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import components, join_dealt, map_chunks, written
+from .common import LIGHT, SHARE, components, discard, join_dealt, map_chunks, written
 
 WORDS, PERMUTATIONS, SEED, BANDS, SIMILARITY = 5, 128, 20240229, 32, 0.8
 _SPACED = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1024
+#: Shingles of the sets verified together; sets of a bucket held against all others of it at a time.
+PART, MEET = 1 << 18, 1024
 
 
 def _inverse(x: int) -> int:
@@ -102,21 +104,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row for each row: doc_id, text_key, set_id (64-bit hash of the set of shingles), n_shingles (distinct), blocks (``BANDS`` longs: the fingerprint, cut)."""
+    """One row for each row: doc_id, text_key, set_id (64-bit hash of the set of shingles), size (distinct shingles), blocks (``BANDS`` longs: the
+    fingerprint, cut; null if the same task gave it before, so that copies aren't sent on)."""
 
     def make():
-        h = Hasher()
+        h, seen = Hasher(), set()
 
         def rows(x):
-            sets, blocks = [np.unique(h.shingles(t)) for t in x["text"]], []
+            sets, blocks, ids = [np.unique(h.shingles(t)) for t in x["text"]], [], []
             for s in sets:
-                blocks.append(h.least(s).astype("<u2").view("<i8").tolist())
-            ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            return {"doc_id": x["doc_id"], "text_key": x["text_key"], "set_id": ids, "n_shingles": list(map(len, sets)), "blocks": blocks}
+                ids.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                blocks.append(None if ids[-1] in seen else h.least(s).astype("<u2").view("<i8").tolist())
+                seen.add(ids[-1])
+            return {"doc_id": x["doc_id"], "text_key": x["text_key"], "set_id": ids, "size": list(map(len, sets)), "blocks": blocks}
 
         return rows
 
-    return map_chunks(docs.select("doc_id", "text", text_key().alias("text_key")), make, "doc_id long, text_key long, set_id long, n_shingles int, blocks array<long>")
+    return map_chunks(docs.select("doc_id", "text", text_key().alias("text_key")), make, "doc_id long, text_key long, set_id long, size int, blocks array<long>")
 
 
 def text_key() -> F.Column:
@@ -135,24 +139,69 @@ def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_chunks(found.select("set_id", "text"), make, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
 
 
-def probable(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose fingerprints agree in as many places as the similarity leaves likely: six standard errors below it (3 of 10^8 pairs at 0.8 are lost)."""
-    least = similarity - 6 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
-    left = pairs.groupBy("a").agg(F.count("*").alias("n")).join(classes.select(F.col("set_id").alias("a"), F.col("blocks").alias("pa")), "a")
-    both = join_dealt(pairs.join(classes.select(F.col("set_id").alias("b"), F.col("blocks").alias("pb")), "b"), left, ["a"], pairs.count(), by=["b"])
-    same = " + ".join(f"if((shiftrightunsigned(x, {16 * i}) & 65535L) = 0, 1, 0)" for i in range(4))
-    return both.where(F.expr(f"aggregate(zip_with(pa, pb, (x, y) -> x ^ y), 0, (n, x) -> n + {same})") >= least * PERMUTATIONS).select("a", "b")
+def met_in_bands(own: DataFrame) -> DataFrame:
+    """(band, key, set_id, size, first, first_size) of the sets that share a band with another; first is the least set of the bucket.
+
+    Band rows move once. Buckets that a sample of some 100,000 rows shows to be heavy are split by set, their first sets taken together
+    afterwards; the sample decides only how rows are dealt, never which are kept.
+    """
+    rows = own.where("blocks is not null and size > 0").select("set_id", "size", F.posexplode("blocks").alias("band", "key")).select("band", "set_id", "size", F.xxhash64("band", "key").alias("key"))
+    n = BANDS * own.count()
+    few, share = max(LIGHT, n // SHARE), min(1.0, 100 * SHARE / max(n, 1))
+    heavy = written(rows.sample(share, SEED).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few * share).select(F.col("key").alias("hot"), F.ceil(F.col("n") / (few * share)).cast("int").alias("salts")), "heavy")
+    dealt = rows.join(F.broadcast(heavy), F.col("key") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("set_id"), "salts")))).drop("salts")
+    bucket = Window.partitionBy("key")
+    ordered = bucket.orderBy("set_id")
+    met = (
+        dealt.withColumns({"first": F.first(F.struct("set_id", "size")).over(ordered), "last": F.max("set_id").over(bucket), "prior": F.lag("set_id").over(ordered)})
+        .where("(hot is not null or last <> first.set_id) and (prior is null or prior <> set_id)")
+    )
+    met = written(met.select("band", "key", "set_id", "size", F.col("first.set_id").alias("first"), F.col("first.size").alias("first_size"), "hot"), "met")
+    least = met.where("hot is not null").groupBy("hot").agg(F.min(F.struct("first", "first_size")).alias("least"))
+    whole = met.join(F.broadcast(least), "hot", "left")
+    return whole.select("band", F.coalesce("hot", "key").alias("key"), "set_id", "size", F.coalesce("least.first", "first").alias("first"), F.coalesce("least.first_size", "first_size").alias("first_size"))
+
+
+def parts(met: DataFrame) -> DataFrame:
+    """(set_id, part): sets that meet are mostly in one part, and a part holds some ``PART`` shingles, or one longer set."""
+    homes = written(met.groupBy("set_id").agg(F.min("first").alias("home"), F.max("size").alias("size")), "homes")
+    by_home = written(homes.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / PART).cast("int").alias("of")), "by_home")
+    placed = join_dealt(homes, by_home, ["home"], homes.count(), by=["set_id"])
+    return written(placed.select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), "of")).alias("part")), "parts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, jaccard) of the ``pairs`` (a, b: set ids) whose sets have the similarity, counted exactly."""
-    pairs = written(probable(pairs, classes, similarity), "probable")
-    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs, written(classes.select("set_id", "doc_id", "text_key").join(named, "set_id"), "named")), "sets")
-    left = pairs.groupBy("a").agg(F.count("*").alias("n")).join(sets.toDF("a", "sa"), "a")
-    both = join_dealt(pairs.join(sets.toDF("b", "sb"), "b"), left, ["a"], pairs.count(), by=["b"])
-    shared = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return written(shared.select("a", "b", (F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= similarity), "links")
+    """(a, b, jaccard) of the distinct ``pairs`` (a, b: set ids; pa, pb: their parts) whose sets have the similarity, counted exactly.
+
+    The pairs of two parts are a cell. A set goes to each of its cells once, whatever the number of its pairs there; a cell holds two parts, so its size is bounded.
+    """
+    cell = [F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")]
+    pairs = written(pairs.select("a", "b", *cell), "pairs")
+    needed = written(pairs.select("x", "y", F.col("a").alias("set_id")).union(pairs.select("x", "y", "b")).distinct(), "needed")
+    sets = written(shingle_sets(docs, written(classes.select("set_id", "doc_id", "text_key").join(needed.select("set_id").distinct(), "set_id"), "named")), "sets")
+
+    def count(links: pa.Table, held: pa.Table) -> pa.Table:
+        ids = held["set_id"].to_numpy()
+        lists = held["shingles"].combine_chunks()
+        codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        size = np.diff(edge := lists.offsets.to_numpy() - lists.offsets[0].as_py())
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, links[c].to_numpy(), sorter=order)] for c in "ab")
+        mark, shared = np.zeros(len(codes) and codes.max() + 1, bool), np.zeros(len(a), np.int64)
+        by = np.argsort(a, kind="stable")
+        for one in np.split(by, np.flatnonzero(np.diff(a[by])) + 1):
+            mine = codes[edge[a[one[0]]] : edge[a[one[0]] + 1]]
+            mark[mine] = True
+            for i in one:
+                shared[i] = np.count_nonzero(mark[codes[edge[b[i]] : edge[b[i] + 1]]])
+            mark[mine] = False
+        jaccard = shared / (size[a] + size[b] - shared)
+        return pa.table({"a": ids[a], "b": ids[b], "jaccard": jaccard}).filter(pa.array(jaccard >= similarity))
+
+    shipped = needed.join(sets, "set_id")
+    links = written(pairs.groupBy("x", "y").cogroup(shipped.groupBy("x", "y")).applyInArrow(count, "a long, b long, jaccard double"), "links")
+    discard(pairs, needed, sets)
+    return links
 
 
 def _alike(x: str, y: str, similarity: float) -> F.Column:
@@ -160,6 +209,20 @@ def _alike(x: str, y: str, similarity: float) -> F.Column:
     return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
 
+def across(open_: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, pa, pb) of ``open_`` that share a bucket, lie in different components and may be similar, each given in its first common band only.
+
+    Those whose fingerprints agree in fewer places than six standard errors below the similarity leave likely aren't given (3 of 10^8 pairs at 0.8 are lost).
+    """
+    least = (similarity - 6 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5) * PERMUTATIONS
+    same = " + ".join(f"if((shiftrightunsigned(x, {16 * i}) & 65535L) = 0, 1, 0)" for i in range(4))
+    left = open_.select("key", "band", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("part").alias("pa"), F.col("blocks").alias("ba"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / MEET)).cast("int").alias("salt"))
+    right = open_.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("part").alias("pb"), F.col("blocks").alias("bb"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / MEET).cast("int") - 1)).alias("salt"))
+    both = left.join(right.hint("merge"), ["key", "salt"]).where("a < b and ra <> rb").where(_alike("na", "nb", similarity))
+    first = both.where("array_position(zip_with(ba, bb, (x, y) -> x ^ y), 0L) = band + 1")
+    return first.where(F.expr(f"aggregate(zip_with(ba, bb, (x, y) -> x ^ y), 0, (n, x) -> n + {same})") >= least).select("a", "b", "pa", "pb")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between classes, and membership.
 
@@ -174,35 +237,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     """
     own = written(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("blocks").alias("blocks")).select("set_id", "of.doc_id", "of.text_key", "n", "size", "blocks"), "classes")
-    rows = classes.where("size > 0").select("set_id", "size", F.posexplode("blocks").alias("band", "key")).select("set_id", "size", F.xxhash64("band", "key").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("set_id", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = written(join_dealt(rows, written(shared, "buckets"), ["key"], BANDS * classes.count(), by=["set_id"]), "met")
-    with_first = met.where("set_id <> first.set_id").where(_alike("size", "first.size", similarity))
-    links = verified(written(with_first.select(F.col("first.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), "pairs"), docs, classes, similarity)
-    # The rest: buckets that hold several components, their components in pairs, and the members of those.
+    classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n")).select("set_id", "of.doc_id", "of.text_key", "n"), "classes")
+    met = written(met_in_bands(own), "buckets")
+    placed = parts(met)
+    with_first = written(met.where("set_id <> first").where(_alike("size", "first_size", similarity)).select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct(), "with_first")
+    firsts = with_first.groupBy("a").agg(F.count("*").alias("n")).join(placed.toDF("a", "pa"), "a")
+    pairs = join_dealt(with_first.join(placed.toDF("b", "pb"), "b"), firsts, ["a"], with_first.count(), by=["b"])
+    links = verified(pairs, docs, classes, similarity)
+    # The rest: buckets that hold several components.
     roots = written(components(links.select("a", "b")).toDF("set_id", "root"), "roots")
-    placed = written(_rooted(met.select("set_id", "size", "key"), roots), "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = written(placed.join(several, "key"), "open")
-    by_root = open_.groupBy("key", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    x, y = by_root.toDF("key", "r", "low", "high"), by_root.toDF("key", "other", "low_y", "high_y")
-    may = (F.col("r") < F.col("other")) & (F.col("high") >= similarity * F.col("low_y")) & (F.col("high_y") >= similarity * F.col("low"))
-    sides = x.join(y, "key").where(may).select("key", "r", "other")
-    pairs = (
-        sides.join(open_.select("key", F.col("root").alias("r"), F.col("set_id").alias("a"), F.col("size").alias("size_a")), ["key", "r"])
-        .join(open_.select("key", F.col("root").alias("other"), F.col("set_id").alias("b"), F.col("size").alias("size_b")), ["key", "other"])
-        .where(_alike("size_a", "size_b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    more = verified(written(pairs, "pairs"), docs, classes, similarity)
+    rooted = written(_rooted(met.select("band", "key", "set_id", "size"), roots), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    open_ = written(rooted.join(several, "key"), "open")
+    known = own.where("blocks is not null").select("set_id", "blocks").join(open_.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
+    more = verified(across(open_.join(placed.join(known, "set_id"), "set_id"), similarity), docs, classes, similarity)
     links = links.union(more)
     ends = links.select(F.col("a").alias("set_id"), "jaccard").union(links.select("b", "jaccard")).groupBy("set_id").agg(F.count("*").alias("n_links"), F.max("jaccard").alias("jaccard"))
     whole = components(links.select("a", "b")).toDF("set_id", "root")
     grouped = written(_rooted(classes.select("set_id", "doc_id", "n"), whole).join(ends, "set_id", "left"), "grouped")
     by_root = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    named = join_dealt(grouped.withColumnRenamed("n", "n_rows"), written(by_root, "components"), ["root"], own.count(), by=["set_id"])
+    named = join_dealt(grouped.withColumnRenamed("n", "n_rows"), written(by_root, "components"), ["root"], classes.count(), by=["set_id"])
     by_set = named.select("set_id", F.col("doc_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "jaccard", F.col("n_rows").alias("n"))
     members = join_dealt(own.select("doc_id", "text_key", "set_id"), written(by_set, "by_set"), ["set_id"], own.count())
+    discard(met, placed, with_first, roots, rooted, open_)
     return links, members
 
 
