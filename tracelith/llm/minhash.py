@@ -20,19 +20,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
-from .common import LIGHT, SHARE, components, discard, join_dealt, map_chunks, written
+from .common import CHUNK_ROWS, LIGHT, SHARE, components, discard, filter_chunks, join_dealt, map_chunks, written
 
 WORDS, PERMUTATIONS, SEED, BANDS, SIMILARITY = 5, 128, 20240229, 32, 0.8
 _SPACED = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1024
-#: Shingles of the sets verified together; sets of a bucket held against all others of it at a time.
-PART, MEET = 1 << 18, 1024
+#: Shingles and sets of a part; sets of a bucket held against all others of it at a time; bits of the filter for texts to be compared.
+PART, PART_SETS, MEET, BLOOM = 1 << 18, 512, 1024, 1 << 26
 
 
 def _inverse(x: int) -> int:
@@ -114,7 +115,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sets, blocks, ids = [np.unique(h.shingles(t)) for t in x["text"]], [], []
             for s in sets:
                 ids.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                blocks.append(None if ids[-1] in seen else h.least(s).astype("<u2").view("<i8").tolist())
+                blocks.append(None if ids[-1] in seen else h.least(s).astype("<u2").view("<i8"))
                 seen.add(ids[-1])
             return {"doc_id": x["doc_id"], "text_key": x["text_key"], "set_id": ids, "size": list(map(len, sets)), "blocks": blocks}
 
@@ -127,47 +128,81 @@ def text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_id, shingles) of ``classes``, each from the one document that stands for it (its doc_id and text_key)."""
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with the column text as Zstandard frames: two thirds of what the shuffle's own compression makes of it."""
+    schema = StructType([StructField("text", BinaryType()) if x.name == "text" else x for x in df.schema])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                texts = pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in part.column(i).to_pylist()], pa.binary())
+                yield part.set_column(i, "text", texts)
+
+    return df.mapInArrow(run, schema)
+
+
+def text_of_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_id, text: squeezed) of ``classes``, each from the one document that stands for it (its doc_id and text_key).
+
+    A Bloom filter of ``BLOOM`` bits, whatever the number of classes, keeps most other texts from being moved; it's the one thing that is broadcast.
+    """
+    spark, name = docs.sparkSession, F.xxhash64("doc_id", "text_key")
+    places = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", "text_key", F.lit(i)), F.lit(BLOOM)) for i in range(3)])).alias("at")
+    words = classes.select(places).groupBy(F.expr("at div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toArrow()
+    filled = np.zeros(BLOOM // 32, np.uint32)
+    filled[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(filled)
 
     def make():
-        h = Hasher(1)
-        return lambda x: {"set_id": x["set_id"], "shingles": [np.unique(h.shingles(t)).view(np.int64).tolist() for t in x["text"]]}
+        bits = shared.value
+
+        def wanted(x):
+            at = np.array(x, np.int64).reshape(-1, 3)
+            return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(1)
+
+        return wanted
 
-    keys = classes.select("set_id", F.col("doc_id").alias("_tracelith_id"), F.col("text_key").alias("_tracelith_key"))
-    found = docs.select("doc_id", "text", text_key().alias("text_key")).join(keys, F.expr("doc_id <=> _tracelith_id and text_key = _tracelith_key"))
-    return map_chunks(found.select("set_id", "text"), make, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
+    at = F.array(*[F.pmod(F.xxhash64("doc_id", "text_key", F.lit(i)), F.lit(BLOOM)) for i in range(3)]).alias("at")
+    found = squeezed(filter_chunks(docs.select("doc_id", "text", text_key().alias("text_key")).select("text", name.alias("name"), at), make, "at").select("name", "text"))
+    keys = classes.select("set_id", name.alias("name"))
+    return found.join(keys.hint("merge"), "name").dropDuplicates(["set_id"]).select("set_id", "text")
 
 
 def met_in_bands(own: DataFrame) -> DataFrame:
-    """(band, key, set_id, size, first, first_size) of the sets that share a band with another; first is the least set of the bucket.
+    """(key, set_id, first) of the sets that share a band with another; first is the least set of the bucket, the key's last bits are the band's number.
 
     Band rows move once. Buckets that a sample of some 100,000 rows shows to be heavy are split by set, their first sets taken together
     afterwards; the sample decides only how rows are dealt, never which are kept.
     """
-    rows = own.where("blocks is not null and size > 0").select("set_id", "size", F.posexplode("blocks").alias("band", "key")).select("band", "set_id", "size", F.xxhash64("band", "key").alias("key"))
+    rows = own.where("blocks is not null and size > 0").select("set_id", F.posexplode("blocks").alias("band", "block")).select("set_id", F.expr(f"xxhash64(band, block) div {BANDS} * {BANDS}").bitwiseOR(F.col("band").cast("long")).alias("key"))
     n = BANDS * own.count()
     few, share = max(LIGHT, n // SHARE), min(1.0, 100 * SHARE / max(n, 1))
     heavy = written(rows.sample(share, SEED).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few * share).select(F.col("key").alias("hot"), F.ceil(F.col("n") / (few * share)).cast("int").alias("salts")), "heavy")
-    dealt = rows.join(F.broadcast(heavy), F.col("key") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("set_id"), "salts")))).drop("salts")
+    salted = rows.join(F.broadcast(heavy), F.col("key") == F.col("hot"), "left")
+    dealt = salted.select("set_id", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("hot", F.pmod(F.xxhash64("set_id"), "salts").cast("int"))).alias("key"))
     bucket = Window.partitionBy("key")
     ordered = bucket.orderBy("set_id")
+    split = heavy.select("hot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("hot", F.xxhash64("hot", "salt").alias("key"))
     met = (
-        dealt.withColumns({"first": F.first(F.struct("set_id", "size")).over(ordered), "last": F.max("set_id").over(bucket), "prior": F.lag("set_id").over(ordered)})
-        .where("(hot is not null or last <> first.set_id) and (prior is null or prior <> set_id)")
+        dealt.withColumns({"first": F.first("set_id").over(ordered), "last": F.max("set_id").over(bucket), "prior": F.lag("set_id").over(ordered)})
+        .where("prior is null or prior <> set_id").join(F.broadcast(split), "key", "left").where("hot is not null or last <> first")
     )
-    met = written(met.select("band", "key", "set_id", "size", F.col("first.set_id").alias("first"), F.col("first.size").alias("first_size"), "hot"), "met")
-    least = met.where("hot is not null").groupBy("hot").agg(F.min(F.struct("first", "first_size")).alias("least"))
-    whole = met.join(F.broadcast(least), "hot", "left")
-    return whole.select("band", F.coalesce("hot", "key").alias("key"), "set_id", "size", F.coalesce("least.first", "first").alias("first"), F.coalesce("least.first_size", "first_size").alias("first_size"))
+    met = written(met.select("key", "set_id", "first", "hot"), "met")
+    least = met.where("hot is not null").groupBy("hot").agg(F.min("first").alias("least"))
+    return met.join(F.broadcast(least), "hot", "left").select(F.coalesce("hot", "key").alias("key"), "set_id", F.coalesce("least", "first").alias("first"))
 
 
-def parts(met: DataFrame) -> DataFrame:
-    """(set_id, part): sets that meet are mostly in one part, and a part holds some ``PART`` shingles, or one longer set."""
-    homes = written(met.groupBy("set_id").agg(F.min("first").alias("home"), F.max("size").alias("size")), "homes")
-    by_home = written(homes.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / PART).cast("int").alias("of")), "by_home")
+def parts(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_id, part, size): sets that meet are mostly in one part, and a part holds some ``PART`` shingles of ``PART_SETS`` sets at most, or one longer set."""
+    homes = written(met.groupBy("set_id").agg(F.min("first").alias("home")).join(classes.select("set_id", "size"), "set_id"), "homes")
+    by_home = written(homes.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("size") / PART, F.count("*") / PART_SETS)).cast("int").alias("of")), "by_home")
     placed = join_dealt(homes, by_home, ["home"], homes.count(), by=["set_id"])
-    return written(placed.select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), "of")).alias("part")), "parts")
+    placed = written(placed.select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), "of")).alias("part"), "size"), "parts")
+    discard(homes, by_home)
+    return placed
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -178,13 +213,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
     cell = [F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")]
     pairs = written(pairs.select("a", "b", *cell), "pairs")
     needed = written(pairs.select("x", "y", F.col("a").alias("set_id")).union(pairs.select("x", "y", "b")).distinct(), "needed")
-    sets = written(shingle_sets(docs, written(classes.select("set_id", "doc_id", "text_key").join(needed.select("set_id").distinct(), "set_id"), "named")), "sets")
+    named = written(classes.select("set_id", "doc_id", "text_key").join(needed.select("set_id").distinct(), "set_id"), "named")
 
     def count(links: pa.Table, held: pa.Table) -> pa.Table:
-        ids = held["set_id"].to_numpy()
-        lists = held["shingles"].combine_chunks()
-        codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
-        size = np.diff(edge := lists.offsets.to_numpy() - lists.offsets[0].as_py())
+        h, unpack, ids = Hasher(1), zstandard.ZstdDecompressor().decompress, held["set_id"].to_numpy()
+        sets = [np.unique(h.shingles(unpack(t.as_py()).decode("utf-8", "surrogatepass"))) for t in held["text"]]
+        size = np.array(list(map(len, sets)))
+        edge = np.concatenate(([0], np.cumsum(size)))
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         order = np.argsort(ids)
         a, b = (order[np.searchsorted(ids, links[c].to_numpy(), sorter=order)] for c in "ab")
         mark, shared = np.zeros(len(codes) and codes.max() + 1, bool), np.zeros(len(a), np.int64)
@@ -198,9 +234,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
         jaccard = shared / (size[a] + size[b] - shared)
         return pa.table({"a": ids[a], "b": ids[b], "jaccard": jaccard}).filter(pa.array(jaccard >= similarity))
 
-    shipped = needed.join(sets, "set_id")
+    shipped = needed.join(text_of_sets(docs, named).hint("merge"), "set_id")
     links = written(pairs.groupBy("x", "y").cogroup(shipped.groupBy("x", "y")).applyInArrow(count, "a long, b long, jaccard double"), "links")
-    discard(pairs, needed, sets)
+    discard(pairs, needed, named)
     return links
 
 
@@ -216,10 +252,10 @@ def across(open_: DataFrame, similarity: float) -> DataFrame:
     """
     least = (similarity - 6 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5) * PERMUTATIONS
     same = " + ".join(f"if((shiftrightunsigned(x, {16 * i}) & 65535L) = 0, 1, 0)" for i in range(4))
-    left = open_.select("key", "band", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("part").alias("pa"), F.col("blocks").alias("ba"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / MEET)).cast("int").alias("salt"))
+    left = open_.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("part").alias("pa"), F.col("blocks").alias("ba"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / MEET)).cast("int").alias("salt"))
     right = open_.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("part").alias("pb"), F.col("blocks").alias("bb"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / MEET).cast("int") - 1)).alias("salt"))
     both = left.join(right.hint("merge"), ["key", "salt"]).where("a < b and ra <> rb").where(_alike("na", "nb", similarity))
-    first = both.where("array_position(zip_with(ba, bb, (x, y) -> x ^ y), 0L) = band + 1")
+    first = both.where(f"array_position(zip_with(ba, bb, (x, y) -> x ^ y), 0L) = (key & {BANDS - 1}) + 1")
     return first.where(F.expr(f"aggregate(zip_with(ba, bb, (x, y) -> x ^ y), 0, (n, x) -> n + {same})") >= least).select("a", "b", "pa", "pb")
 
 
@@ -237,16 +273,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     """
     own = written(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n")).select("set_id", "of.doc_id", "of.text_key", "n"), "classes")
+    classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n"), F.max("size").alias("size")).select("set_id", "of.doc_id", "of.text_key", "n", "size"), "classes")
     met = written(met_in_bands(own), "buckets")
-    placed = parts(met)
-    with_first = written(met.where("set_id <> first").where(_alike("size", "first_size", similarity)).select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct(), "with_first")
-    firsts = with_first.groupBy("a").agg(F.count("*").alias("n")).join(placed.toDF("a", "pa"), "a")
-    pairs = join_dealt(with_first.join(placed.toDF("b", "pb"), "b"), firsts, ["a"], with_first.count(), by=["b"])
+    placed = parts(met, classes)
+    with_first = written(met.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct(), "with_first")
+    firsts = with_first.groupBy("a").agg(F.count("*").alias("n")).join(placed.toDF("a", "pa", "na"), "a")
+    pairs = join_dealt(with_first.join(placed.toDF("b", "pb", "nb"), "b"), firsts, ["a"], with_first.count(), by=["b"]).where(_alike("na", "nb", similarity))
     links = verified(pairs, docs, classes, similarity)
     # The rest: buckets that hold several components.
     roots = written(components(links.select("a", "b")).toDF("set_id", "root"), "roots")
-    rooted = written(_rooted(met.select("band", "key", "set_id", "size"), roots), "rooted")
+    rooted = written(_rooted(met.select("key", "set_id"), roots), "rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     open_ = written(rooted.join(several, "key"), "open")
     known = own.where("blocks is not null").select("set_id", "blocks").join(open_.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
@@ -300,12 +336,12 @@ def edited(docs: DataFrame, buckets: int | None = None, members: DataFrame | Non
     before = spark.createDataFrame([(h.k, heads[i - 1].bucket) for i, h in enumerate(heads)], "k long, guest_in int")
     note, plain = [x.split()[0] for x in NOTES.split(", ")], members is None
     texts = (
-        keyed.select("*", bucket).join(F.broadcast(before), "k", "left")
+        squeezed(keyed.select("*", bucket)).join(F.broadcast(before), "k", "left")
         .select("*", F.explode(F.expr("if(guest_in is null, array(struct(bucket, false as guest)), array(struct(bucket, false as guest), struct(guest_in as bucket, true as guest)))")).alias("at"))
         .select("doc_id", "text", "text_key", "k", "at.bucket", "at.guest", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':') for x in NOTES.split(', '))}>").alias("note"))
     )
     if members is not None:
-        short = members.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST))).select("doc_id", F.lit(None).cast("string").alias("text"), "text_key", "k", bucket, F.lit(False).alias("guest"), F.struct(*note).alias("note"))
+        short = members.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST))).select("doc_id", F.lit(None).cast("binary").alias("text"), "text_key", "k", bucket, F.lit(False).alias("guest"), F.struct(*note).alias("note"))
         texts = texts.unionByName(short)
     dealt = (
         texts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), F.col("doc_id").isNull(), "text_key", F.col("note").isNull(), "text")
@@ -314,7 +350,7 @@ def edited(docs: DataFrame, buckets: int | None = None, members: DataFrame | Non
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        h = Hasher()
+        h, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
         held = closed = noted = None  # the row that waits for its successor; the bucket that is done with; what is known of the next texts
 
         def result(row, after):
@@ -333,7 +369,8 @@ def edited(docs: DataFrame, buckets: int | None = None, members: DataFrame | Non
                         continue
                     if guest and closed == bucket:
                         continue
-                    row = doc_id, text or "", h.signature(text), () if plain or guest else tuple(noted[c] for c in note)
+                    text = unpack(text).decode("utf-8", "surrogatepass")
+                    row = doc_id, text, h.signature(text), () if plain or guest else tuple(noted[c] for c in note)
                     if held is not None:
                         out.append(result(held, row))
                     held, closed = (None, bucket) if guest else (row, None)
