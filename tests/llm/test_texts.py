@@ -307,7 +307,7 @@ def grouped(sets, similarity=0.8):
 @pytest.mark.parametrize("split", [False, True])
 def test_minhash_classes_and_components(spark, odd, none, monkeypatch, split):
     if split:  # many parts, cells, heavy buckets
-        for k, v in {"PART": 300, "MEET": 3, "LIGHT": 4, "SHARE": 10**6}.items():
+        for k, v in {"PART": 300, "PART_SETS": 3, "LIGHT": 4, "SHARE": 10**6}.items():
             monkeypatch.setattr(minhash, k, v)
     r = random.Random(7)
     base = [prose(r, 300) for _ in range(12)]

@@ -32,8 +32,8 @@ WORDS, PERMUTATIONS, SEED, BANDS, SIMILARITY = 5, 128, 20240229, 32, 0.8
 _SPACED = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1024
-#: Shingles and sets of a part; sets of a bucket held against all others of it at a time; bits of the filter for texts to be compared.
-PART, PART_SETS, MEET, BLOOM = 1 << 18, 512, 1024, 1 << 26
+#: Shingles and sets of a part; bits of the filter for texts to be compared.
+PART, PART_SETS, BLOOM = 1 << 18, 512, 1 << 26
 
 
 def _inverse(x: int) -> int:
@@ -213,50 +213,86 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
     cell = [F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")]
     pairs = written(pairs.select("a", "b", *cell), "pairs")
     needed = written(pairs.select("x", "y", F.col("a").alias("set_id")).union(pairs.select("x", "y", "b")).distinct(), "needed")
-    named = written(classes.select("set_id", "doc_id", "text_key").join(needed.select("set_id").distinct(), "set_id"), "named")
 
     def count(links: pa.Table, held: pa.Table) -> pa.Table:
-        h, unpack, ids = Hasher(1), zstandard.ZstdDecompressor().decompress, held["set_id"].to_numpy()
-        sets = [np.unique(h.shingles(unpack(t.as_py()).decode("utf-8", "surrogatepass"))) for t in held["text"]]
-        size = np.array(list(map(len, sets)))
-        edge = np.concatenate(([0], np.cumsum(size)))
-        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids, sets = held["set_id"].to_numpy(), _unpacked(held, Hasher(1))
         order = np.argsort(ids)
         a, b = (order[np.searchsorted(ids, links[c].to_numpy(), sorter=order)] for c in "ab")
-        mark, shared = np.zeros(len(codes) and codes.max() + 1, bool), np.zeros(len(a), np.int64)
-        by = np.argsort(a, kind="stable")
-        for one in np.split(by, np.flatnonzero(np.diff(a[by])) + 1):
-            mine = codes[edge[a[one[0]]] : edge[a[one[0]] + 1]]
-            mark[mine] = True
-            for i in one:
-                shared[i] = np.count_nonzero(mark[codes[edge[b[i]] : edge[b[i] + 1]]])
-            mark[mine] = False
-        jaccard = shared / (size[a] + size[b] - shared)
-        return pa.table({"a": ids[a], "b": ids[b], "jaccard": jaccard}).filter(pa.array(jaccard >= similarity))
-
-    shipped = needed.join(text_of_sets(docs, named).hint("merge"), "set_id")
-    links = written(pairs.groupBy("x", "y").cogroup(shipped.groupBy("x", "y")).applyInArrow(count, "a long, b long, jaccard double"), "links")
+        return _linked(ids, sets, a, b, similarity)
+
+    named, texts = _texts(needed, docs, classes)
+    shipped = needed.join(texts, "set_id")
+    links = written(pairs.groupBy("x", "y").cogroup(shipped.groupBy("x", "y")).applyInArrow(count, LINKS), "links")
     discard(pairs, needed, named)
     return links
 
 
-def _alike(x: str, y: str, similarity: float) -> F.Column:
-    """Whether sets of these sizes can have the similarity."""
-    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-
+def across(open_: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, jaccard) of the sets of ``open_`` (key, set_id, root, part) that share a band, lie in different components and have the similarity.
 
-def across(open_: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, pa, pb) of ``open_`` that share a bucket, lie in different components and may be similar, each given in its first common band only.
-
-    Those whose fingerprints agree in fewer places than six standard errors below the similarity leave likely aren't given (3 of 10^8 pairs at 0.8 are lost).
+    Parts that meet in a bucket with several components are a cell; its sets are compared there, so that no candidate pair is ever a row.
+    Those whose fingerprints agree in fewer places than six standard errors below the similarity leave likely aren't counted (3 of 10^8 pairs at 0.8 are lost).
     """
     least = (similarity - 6 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5) * PERMUTATIONS
-    same = " + ".join(f"if((shiftrightunsigned(x, {16 * i}) & 65535L) = 0, 1, 0)" for i in range(4))
-    left = open_.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("part").alias("pa"), F.col("blocks").alias("ba"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / MEET)).cast("int").alias("salt"))
-    right = open_.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("part").alias("pb"), F.col("blocks").alias("bb"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / MEET).cast("int") - 1)).alias("salt"))
-    both = left.join(right.hint("merge"), ["key", "salt"]).where("a < b and ra <> rb").where(_alike("na", "nb", similarity))
-    first = both.where(f"array_position(zip_with(ba, bb, (x, y) -> x ^ y), 0L) = (key & {BANDS - 1}) + 1")
-    return first.where(F.expr(f"aggregate(zip_with(ba, bb, (x, y) -> x ^ y), 0, (n, x) -> n + {same})") >= least).select("a", "b", "pa", "pb")
+    here = open_.groupBy("key", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = here.toDF("key", "x", "low_x", "high_x"), here.toDF("key", "y", "low_y", "high_y")
+    cells = x.join(y, "key").where("x <= y and least(low_x, low_y) <> greatest(high_x, high_y)").select("x", "y").distinct()
+    sides = cells.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    needed = written(sides.join(open_.select("set_id", "root", "part").distinct(), "part"), "needed")
+
+    def compare(held: pa.Table) -> pa.Table:
+        h = Hasher()
+        ids, root, part = (held[c].to_numpy() for c in ("set_id", "root", "part"))
+        sets = _unpacked(held, h)
+        prints = np.array([h.least(s) for s in sets]).astype("<u2")
+        bands, size, within = prints.view("<i8"), np.array(list(map(len, sets))), held["x"][0] == held["y"][0]
+        found = []
+        for i in range(len(ids)):
+            may = (root != root[i]) & (ids > ids[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+            may = np.flatnonzero(may if within else may & (part != part[i]))
+            may = may[(bands[may] == bands[i]).any(1)]
+            found.append(may[(prints[may] == prints[i]).sum(1) >= least])
+        return _linked(ids, sets, np.repeat(np.arange(len(ids)), list(map(len, found))), np.concatenate(found), similarity)
+
+    named, texts = _texts(needed, docs, classes)
+    links = written(needed.join(texts, "set_id").groupBy("x", "y").applyInArrow(compare, LINKS), "links")
+    discard(needed, named)
+    return links
+
+
+LINKS = "a long, b long, jaccard double"
+
+
+def _texts(needed: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    named = written(classes.select("set_id", "doc_id", "text_key").join(needed.select("set_id").distinct(), "set_id"), "named")
+    return named, text_of_sets(docs, named).hint("merge")
+
+
+def _unpacked(held: pa.Table, h: Hasher) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.unique(h.shingles(unpack(t.as_py()).decode("utf-8", "surrogatepass"))) for t in held["text"]]
+
+
+def _linked(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> pa.Table:
+    """The pairs of places ``a``, ``b`` whose sets have the similarity."""
+    size = np.array(list(map(len, sets)))
+    edge = np.concatenate(([0], np.cumsum(size)))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, shared = np.zeros(codes.max() + 1, bool), np.zeros(len(a), np.int64)
+    by = np.argsort(a, kind="stable")
+    for one in np.split(by, np.flatnonzero(np.diff(a[by])) + 1) if len(by) else ():
+        mine = codes[edge[a[one[0]]] : edge[a[one[0]] + 1]]
+        mark[mine] = True
+        for i in one:
+            shared[i] = np.count_nonzero(mark[codes[edge[b[i]] : edge[b[i] + 1]]])
+        mark[mine] = False
+    jaccard = shared / (size[a] + size[b] - shared)
+    return pa.table({"a": ids[a], "b": ids[b], "jaccard": jaccard}).filter(pa.array(jaccard >= similarity, pa.bool_()))
+
+
+def _alike(x: str, y: str, similarity: float) -> F.Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +305,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
     Classes that share a band are candidates. Each is held against the least class of its bucket first, so that near copies
     of one another cost one comparison each and not one for each pair. What then lies in different components though it shares a bucket is
-    compared pair by pair, so that every two candidates end in one component if a chain of verified links joins them.
+    compared within the task of its cell, so that every two candidates end in one component if a chain of verified links joins them.
     """
     own = written(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
@@ -283,10 +319,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     # The rest: buckets that hold several components.
     roots = written(components(links.select("a", "b")).toDF("set_id", "root"), "roots")
     rooted = written(_rooted(met.select("key", "set_id"), roots), "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    open_ = written(rooted.join(several, "key"), "open")
-    known = own.where("blocks is not null").select("set_id", "blocks").join(open_.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    more = verified(across(open_.join(placed.join(known, "set_id"), "set_id"), similarity), docs, classes, similarity)
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = written(rooted.join(several, "key").join(placed.select("set_id", "part"), "set_id"), "open")
+    more = across(open_, docs, classes, similarity)
     links = links.union(more)
     ends = links.select(F.col("a").alias("set_id"), "jaccard").union(links.select("b", "jaccard")).groupBy("set_id").agg(F.count("*").alias("n_links"), F.max("jaccard").alias("jaccard"))
     whole = components(links.select("a", "b")).toDF("set_id", "root")
