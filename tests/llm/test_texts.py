@@ -352,6 +352,30 @@ def test_minhash_near_copies_cost_no_pairs(spark):
     assert {x.component_id for x in members.collect()} == {0} and links.count() < 300 * 12
 
 
+def test_minhash_unlike_near_copies_go_to_few_cells(spark, monkeypatch):
+    r = random.Random(12)
+    words = prose(r, 150).split()
+    rows = []
+    for i in range(400):  # most are too far from each other for a link, though they meet in many buckets
+        w = list(words)
+        for _ in range(r.randint(1, 8)):
+            w[r.randrange(150)] = prose(r, 1)
+        rows.append((i, " ".join(w)))
+    moved, write = [], minhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "needed":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    members = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()
+    root = grouped({d: shingles(t) for d, t in rows})[1]
+    assert {x.doc_id: x.component_id for x in members} == root and len(set(root.values())) > 40
+    assert sum(moved) < 3 * len(rows)
+
+
 # BPE
 
 

@@ -32,8 +32,8 @@ WORDS, PERMUTATIONS, SEED, BANDS, SIMILARITY = 5, 128, 20240229, 32, 0.8
 _SPACED = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1024
-#: Shingles and sets of a part; bits of the filter for texts to be compared.
-PART, PART_SETS, BLOOM = 1 << 18, 512, 1 << 26
+#: Shingles and sets of a part; rounds in which sets that meet agree on a home; bits of the filter for texts to be compared.
+PART, PART_SETS, ROUNDS, BLOOM = 1 << 18, 1024, 2, 1 << 26
 
 
 def _inverse(x: int) -> int:
@@ -172,9 +172,10 @@ def text_of_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def met_in_bands(own: DataFrame) -> DataFrame:
-    """(key, set_id, first) of the sets that share a band with another; first is the least set of the bucket, the key's last bits are the band's number.
+    """(key, set_id, head) of the sets that share a band with another; head (weight, set_id) is the bucket's most central set, that with most sets
+    in all its buckets: near copies of one text mostly have the same head, whichever bucket they meet in. The key's last bits are the band's number.
 
-    Band rows move once. Buckets that a sample of some 100,000 rows shows to be heavy are split by set, their first sets taken together
+    Band rows move once. Buckets that a sample of some 100,000 rows shows to be heavy are split by set, their sets taken together
     afterwards; the sample decides only how rows are dealt, never which are kept.
     """
     rows = own.where("blocks is not null and size > 0").select("set_id", F.posexplode("blocks").alias("band", "block")).select("set_id", F.expr(f"xxhash64(band, block) div {BANDS} * {BANDS}").bitwiseOR(F.col("band").cast("long")).alias("key"))
@@ -190,18 +191,35 @@ def met_in_bands(own: DataFrame) -> DataFrame:
         dealt.withColumns({"first": F.first("set_id").over(ordered), "last": F.max("set_id").over(bucket), "prior": F.lag("set_id").over(ordered)})
         .where("prior is null or prior <> set_id").join(F.broadcast(split), "key", "left").where("hot is not null or last <> first")
     )
-    met = written(met.select("key", "set_id", "first", "hot"), "met")
-    least = met.where("hot is not null").groupBy("hot").agg(F.min("first").alias("least"))
-    return met.join(F.broadcast(least), "hot", "left").select(F.coalesce("hot", "key").alias("key"), "set_id", F.coalesce("least", "first").alias("first"))
+    met = written(met.select(F.coalesce("hot", "key").alias("key"), "set_id"), "met")
+    n = met.count()
+    sizes = written(met.groupBy("key").agg(F.count("*").alias("n")).select("key", F.col("n").alias("sets"), "n"), "sizes")
+    weights = join_dealt(met, sizes, ["key"], n, by=["set_id"]).groupBy("set_id").agg(F.sum("sets").alias("weight"))
+    weighed = written(met.join(weights, "set_id"), "weighed")
+    heads = written(weighed.groupBy("key").agg(F.max(F.struct("weight", "set_id")).alias("head"), F.count("*").alias("n")), "heads")
+    buckets = written(join_dealt(weighed.select("key", "set_id"), heads, ["key"], n, by=["set_id"]), "buckets")
+    discard(heavy, met, sizes, weighed, heads)
+    return buckets
 
 
 def parts(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_id, part, size): sets that meet are mostly in one part, and a part holds some ``PART`` shingles of ``PART_SETS`` sets at most, or one longer set."""
-    homes = written(met.groupBy("set_id").agg(F.min("first").alias("home")).join(classes.select("set_id", "size"), "set_id"), "homes")
-    by_home = written(homes.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("size") / PART, F.count("*") / PART_SETS)).cast("int").alias("of")), "by_home")
-    placed = join_dealt(homes, by_home, ["home"], homes.count(), by=["set_id"])
+    """(set_id, part, size): sets that meet are mostly in one part, and a part holds some ``PART`` shingles of ``PART_SETS`` sets at most, or one longer set.
+
+    A set's home is the weightiest head of its buckets. Those who meet take the weightiest home among them, ``ROUNDS`` times: else a few
+    sets at a family's edge would have parts of their own, and each would call the whole family into its cell.
+    """
+    n, rows = met.count(), met.select("key", "set_id")
+    homes = written(met.groupBy("set_id").agg(F.max("head").alias("home")), "homes")
+    for _ in range(ROUNDS):
+        by_key = written(rows.join(homes, "set_id").groupBy("key").agg(F.max("home").alias("home"), F.count("*").alias("n")), "by_key")
+        new = written(join_dealt(rows, by_key, ["key"], n, by=["set_id"]).groupBy("set_id").agg(F.max("home").alias("home")), "homes")
+        discard(homes, by_key)
+        homes = new
+    sized = written(homes.select("set_id", F.col("home.set_id").alias("home")).join(classes.select("set_id", "size"), "set_id"), "sized")
+    by_home = written(sized.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("size") / PART, F.count("*") / PART_SETS)).cast("int").alias("of")), "by_home")
+    placed = join_dealt(sized, by_home, ["home"], sized.count(), by=["set_id"])
     placed = written(placed.select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), "of")).alias("part"), "size"), "parts")
-    discard(homes, by_home)
+    discard(homes, sized, by_home)
     return placed
 
 
@@ -303,18 +321,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     component_id, n_links, jaccard), one row for each row: class_id and component_id are the least doc_id of the class and of
     its component under the links (null if it has no other id), n_links counts the class's links, jaccard is the greatest of them.
 
-    Classes that share a band are candidates. Each is held against the least class of its bucket first, so that near copies
+    Classes that share a band are candidates. Each is held against the most central class of its bucket first, so that near copies
     of one another cost one comparison each and not one for each pair. What then lies in different components though it shares a bucket is
     compared within the task of its cell, so that every two candidates end in one component if a chain of verified links joins them.
     """
     own = written(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     classes = written(own.groupBy("set_id").agg(least.alias("of"), F.count("*").alias("n"), F.max("size").alias("size")).select("set_id", "of.doc_id", "of.text_key", "n", "size"), "classes")
-    met = written(met_in_bands(own), "buckets")
+    met = met_in_bands(own)
     placed = parts(met, classes)
-    with_first = written(met.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct(), "with_first")
-    firsts = with_first.groupBy("a").agg(F.count("*").alias("n")).join(placed.toDF("a", "pa", "na"), "a")
-    pairs = join_dealt(with_first.join(placed.toDF("b", "pb", "nb"), "b"), firsts, ["a"], with_first.count(), by=["b"]).where(_alike("na", "nb", similarity))
+    with_head = written(met.where("set_id <> head.set_id").select(F.col("head.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), "with_head")
+    heads = with_head.groupBy("a").agg(F.count("*").alias("n")).join(placed.toDF("a", "pa", "na"), "a")
+    pairs = join_dealt(with_head.join(placed.toDF("b", "pb", "nb"), "b"), heads, ["a"], with_head.count(), by=["b"]).where(_alike("na", "nb", similarity))
     links = verified(pairs, docs, classes, similarity)
     # The rest: buckets that hold several components.
     roots = written(components(links.select("a", "b")).toDF("set_id", "root"), "roots")
@@ -330,7 +348,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     named = join_dealt(grouped.withColumnRenamed("n", "n_rows"), written(by_root, "components"), ["root"], classes.count(), by=["set_id"])
     by_set = named.select("set_id", F.col("doc_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "jaccard", F.col("n_rows").alias("n"))
     members = join_dealt(own.select("doc_id", "text_key", "set_id"), written(by_set, "by_set"), ["set_id"], own.count())
-    discard(met, placed, with_first, roots, rooted, open_)
+    discard(met, placed, with_head, roots, rooted, open_)
     return links, members
 
 
